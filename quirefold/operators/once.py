@@ -39,34 +39,37 @@ BITS_SCHEMA = T.StructType(
 
 
 def canonical_path(path: Column) -> Column:
-    """One spelling of a relative path: forward slashes, no empty or `.` parts, `a/../` resolved once."""
+    """One spelling of a relative path: forward slashes, no empty or `.` parts, `a/../` resolved once.
+    Only a path that holds such a part pays for the patterns."""
     p = F.regexp_replace(F.trim(path), r"\\+", "/")
     p = F.regexp_replace(p, r"/(?:\./|/)+", "/")
     p = F.regexp_replace(p, r"^(?:\./+)+", "")
     p = F.regexp_replace(p, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return F.regexp_replace(p, r"(?:/\.)?/*$", "")
+    p = F.regexp_replace(p, r"(?:/\.)?/*$", "")
+    messy = (
+        path.contains("\\") | path.contains("//") | path.contains("/.") | path.startswith(".") | path.endswith("/") | path.startswith(" ") | path.endswith(" ")
+    )
+    return F.when(messy, p).otherwise(path)
 
 
 def instant_micros(time: Column) -> Column:
-    """Microseconds since 1970 of an ISO 8601 time; UTC where it carries no offset; null if it is none."""
+    """Microseconds since 1970 of an ISO 8601 time; UTC where it carries no offset; null if it is none.
+    The plain form of 19 characters goes past the patterns."""
     t = F.regexp_replace(F.trim(time), r"^(\d{4}-\d\d-\d\d)[Tt ]+", "$1T")
     t = F.regexp_replace(t, r"^(.{16,}\d),(\d+)", "$1.$2")
     t = F.regexp_replace(t, r"\s*([+-]\d\d):?(\d\d)$", "$1:$2")
     t = F.regexp_replace(t, r"(T[^+-]*[+-]\d\d)$", "$1:00")
     t = F.when(t.rlike(r"T.*([Zz]|[+-]\d\d:\d\d)$"), F.upper(t)).otherwise(F.concat(t, F.lit("Z")))
-    return F.unix_micros(t.try_cast("timestamp"))
+    plain = (F.length(time) == 19) & (F.substring(time, 11, 1) == "T")
+    return F.unix_micros(F.when(plain, F.concat(time, F.lit("Z"))).otherwise(t).try_cast("timestamp"))
 
 
 def with_identity(df: DataFrame, file: str = "file", time: str = "time") -> DataFrame:
     """Adds `name` and `instant`. A time that is no instant stays part of the name as written."""
-    us = instant_micros(F.col(time))
-    return df.withColumns(
-        {
-            "instant": us,
-            "name": F.when(us.isNull() & F.col(time).isNotNull(), F.concat_ws("\u0000", canonical_path(F.col(file)), F.trim(F.col(time)))).otherwise(
-                canonical_path(F.col(file))
-            ),
-        }
+    name = canonical_path(F.col(file))
+    return df.withColumn("instant", instant_micros(F.col(time))).withColumn(
+        "name",
+        F.when(F.col("instant").isNotNull() | F.col(time).isNull(), name).otherwise(F.concat(name, F.lit("\u0000"), F.trim(F.col(time)))),
     )
 
 
