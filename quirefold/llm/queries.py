@@ -5,10 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirefold.llm.encoding import fit_garbling, garbled_words
 from quirefold.llm.sentences import sentences
 from quirefold.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit_garbling(table(spark, sf_dir, "lexicon"))
+    words = table(spark, sf_dir, "words").select("doc_id", "page", "word_no", "text")
+    return garbled_words(words, model).select("doc_id", "page", "word_no")
+
+
+def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The affected words with their original text (null where it is lost), by chain of encodings."""
+    model = fit_garbling(table(spark, sf_dir, "lexicon"))
+    words = table(spark, sf_dir, "words").select("doc_id", "page", "word_no", "text")
+    return garbled_words(words, model).select("doc_id", "page", "word_no", "text", "restored", "chain")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -23,5 +37,10 @@ def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p10_found": p10_found, "p10_lengths": p10_lengths}
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
+    "p10_found": p10_found,
+    "p10_lengths": p10_lengths,
+}
 ORACLES: dict[str, str] = {}
