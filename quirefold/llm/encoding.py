@@ -37,7 +37,7 @@ PAIRS = tuple(
         "iso8859-5": ("cp1251", "cp1252", "latin-1"),
         "cp1256": ("cp1252", "latin-1"),
         "gb18030": ("cp1252", "latin-1"),
-        "cp1254": ("cp1252", "latin-1"),
+        "cp1254": ("cp1252", "latin-1", "cp1251"),
     }.items()
     for read in reads
 )

@@ -47,8 +47,10 @@ def script_of(word: str) -> str | None:
     for c in word:
         if c.isalpha():
             break
+    else:
+        return None
     o = ord(c)
-    if o < 0x250 or 0x250 <= o < 0x2B0 or 0x1E00 <= o < 0x1F00:
+    if o < 0x2B0 or 0x1E00 <= o < 0x1F00:
         return "Latin"
     if 0x400 <= o < 0x530:
         return "Cyrillic"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm.encoding import fit_garbling, garbled_words
+from quirefold.llm.lookalike import fit_lookalikes, inconsistent
 from quirefold.llm.sentences import sentences
 from quirefold.session import table
 
@@ -23,6 +24,21 @@ def p3_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_words(words, model).select("doc_id", "page", "word_no", "text", "restored", "chain")
 
 
+def p4_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and runs that aren't in the consistent form, with that form."""
+    lexicon = table(spark, sf_dir, "lexicon")
+    model, garbling = fit_lookalikes(lexicon), fit_garbling(lexicon)
+    words = inconsistent(table(spark, sf_dir, "words"), ["doc_id", "page", "word_no"], model, garbling)
+    runs = inconsistent(table(spark, sf_dir, "runs"), ["doc_id", "page", "block_no", "run_no"], model, garbling)
+    return words.select(
+        F.lit("words").alias("src"), "doc_id", "page", F.lit(-1).alias("block_no"), F.col("word_no").alias("item_no"), "text", "canonical"
+    ).unionByName(runs.select(F.lit("runs").alias("src"), "doc_id", "page", "block_no", F.col("run_no").alias("item_no"), "text", "canonical"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_canonical(spark, sf_dir).select("src", "doc_id", "page", "block_no", "item_no")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,6 +56,8 @@ def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_restored": p3_restored,
+    "p4_found": p4_found,
+    "p4_canonical": p4_canonical,
     "p10_found": p10_found,
     "p10_lengths": p10_lengths,
 }
