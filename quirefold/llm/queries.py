@@ -7,10 +7,18 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.encoding import fit_garbling, garbled_words
 from quirefold.llm.lookalike import fit_lookalikes, inconsistent
+from quirefold.llm.scan_noise import scan_noise
 from quirefold.llm.sentences import sentences
 from quirefold.session import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lexicon = table(spark, sf_dir, "lexicon")
+    return scan_noise(
+        table(spark, sf_dir, "words"), table(spark, sf_dir, "blocks"), table(spark, sf_dir, "page_plan"), lexicon, fit_lookalikes(lexicon), fit_garbling(lexicon)
+    )
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_garbling(table(spark, sf_dir, "lexicon"))
     words = table(spark, sf_dir, "words").select("doc_id", "page", "word_no", "text")
@@ -54,6 +62,7 @@ def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,
