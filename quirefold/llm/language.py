@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -222,46 +222,108 @@ def label_text(model: LanguageModel, texts: list[str], switch: float = 6.0) -> l
 
 
 def document_languages(docs: DataFrame, model: LanguageModel, switch: float = 6.0) -> DataFrame:
-    """Per document and run of sentences in one language: run start, characters, lang, confidence,
-    and the document's main language (that of most characters) with its share."""
+    """Per document and run of sentences in one language: run number, start, characters, lang and
+    confidence, with the document's label as a two-letter code, its main language (that of most
+    characters), its share and the number of languages."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    cols = ["doc_id", "run_no", "start_pos", "n_chars", "lang", "confidence", "label", "main_lang", "main_share", "n_langs"]
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
             rows = []
-            for k, runs in zip(pdf["doc_id"].tolist(), label_text(m, pdf["text"].tolist(), switch)):
+            for k, own, runs in zip(pdf["doc_id"].tolist(), pdf["lang"].tolist(), label_text(m, pdf["text"].tolist(), switch)):
                 share = Counter()
                 for _, n, lang, _ in runs:
                     share[lang] += n
                 if runs:
                     main, most = max(share.items(), key=lambda x: (x[1], -_AT[x[0]]))
                     part = most / share.total()
-                    rows += [(k, a, n, lang, conf, main, part, len(share)) for a, n, lang, conf in runs]
-            yield pd.DataFrame(rows, columns=["doc_id", "start_pos", "n_chars", "lang", "confidence", "main_lang", "main_share", "n_langs"])
+                    rows += [(k, i, a, n, lang, conf, two_letter(own), main, part, len(share)) for i, (a, n, lang, conf) in enumerate(runs)]
+            yield pd.DataFrame(rows, columns=cols)
 
-    return docs.where(F.length("text") > 0).select("doc_id", "text").mapInPandas(
-        label, "doc_id bigint, start_pos int, n_chars int, lang string, confidence double, main_lang string, main_share double, n_langs int"
+    return docs.where(F.length("text") > 0).select("doc_id", "text", "lang").mapInPandas(
+        label,
+        "doc_id bigint, run_no int, start_pos int, n_chars int, lang string, confidence double, label string, main_lang string, main_share double, n_langs int",
     )
 
 
-def text_scores(df: DataFrame, keys: list[str], model: LanguageModel, text: str = "text") -> DataFrame:
-    """Per row its best language, confidence, the score sum of each language and its letters."""
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def word_pages(words: DataFrame, model: LanguageModel, repair: Callable[[str], str]) -> DataFrame:
+    """Per page: its language (the script with most letters, in it the language with most letters of
+    words, then the higher score), confidence, and the languages its words' profiles name; `profiles`
+    is empty where every profile is missing. `repair` restores a word before it is scored."""
+    shared = words.sparkSession.sparkContext.broadcast((model, repair))
+    sums = [f"s_{k}" for k in LANGS] + [f"l_{k}" for k in LANGS]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, fix = shared.value
+        for pdf in batches:
+            texts = [fix(t) for t in pdf["text"].tolist()]
+            s = m.sums(texts)
+            letters = np.asarray([sum(map(len, WORD.findall(t))) for t in texts])
+            out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "page": pdf["page"].to_numpy()})
+            best, has = s.argmax(axis=1), s.any(axis=1)
+            for k, lang in enumerate(LANGS):
+                out[f"s_{lang}"] = s[:, k]
+                out[f"l_{lang}"] = np.where(has & (best == k), letters, 0).astype(float)
+            yield out.groupby(["doc_id", "page"], sort=False).sum().reset_index()
+
+    part = words.where(F.col("text").isNotNull()).select("doc_id", "page", "text").mapInPandas(
+        score, "doc_id bigint, page int, " + ", ".join(f"{k} double" for k in sums)
+    )
+    named = words.groupBy("doc_id", "page").agg(F.collect_set("language_profile").alias("profiles"))  # a few codes a page
+    page = part.groupBy("doc_id", "page").agg(*[F.sum(k).alias(k) for k in sums])
+    script = {k: s for s, ks in SCRIPT_LANGS.items() for k in ks}
+    of_script = {s: sum((F.col(f"l_{k}") for k in ks[1:]), F.col(f"l_{ks[0]}")) for s, ks in SCRIPT_LANGS.items()}
+    rank = F.array_max(F.array(*[F.struct(of_script[script[k]].alias("a"), F.col(f"l_{k}").alias("b"), F.col(f"s_{k}").alias("c"), F.lit(-_AT[k]).alias("at"), F.lit(k).alias("lang")) for k in LANGS]))
+    second = F.sort_array(F.array(*[F.col(f"s_{k}") for k in LANGS]), asc=False)
+    some = sum((F.col(f"l_{k}") for k in LANGS[1:]), F.col(f"l_{LANGS[0]}")) > 0
+    return named.join(page, ["doc_id", "page"], "left").select(
+        "doc_id", "page", "profiles", F.when(some, rank["lang"]).alias("lang"), (1 / (1 + F.exp(-(second[0] - second[1])))).alias("confidence")
+    )
+
+
+def page_cases(pages: DataFrame) -> DataFrame:
+    """Pages whose words all lack a profile, or whose profiles don't name the page's language. A page
+    without readable words takes the language of most pages of its document."""
+    codes = F.create_map(*[F.lit(x) for k, v in CODES.items() for x in (k, v)])
+    named = F.flatten(F.transform("profiles", lambda p: F.transform(F.split(p, r"\+"), lambda c: F.try_element_at(codes, F.lower(F.trim(c))))))
+    doc = pages.where("lang is not null").groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
+    doc = doc.groupBy("doc_id").agg(F.max(F.struct("n", "lang"))["lang"].alias("doc_lang"))
+    lack = F.size("profiles") == 0
+    found = pages.join(doc, "doc_id", "left").withColumn("named", named)
+    return found.where((lack & F.coalesce("lang", "doc_lang").isNotNull()) | (~lack & F.col("lang").isNotNull() & ~F.array_contains("named", F.col("lang")))).select(
+        "doc_id", "page", F.coalesce("lang", "doc_lang").alias("lang"), "confidence"
+    )
+
+
+def paragraph_cases(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs not in their document's main language, the one of most paragraphs, then of most letters."""
+    known = paragraphs.where("lang is not null")
+    per = known.groupBy("doc_id", "lang").agg(F.count("*").alias("n"), F.sum("letters").alias("letters"))
+    main = per.groupBy("doc_id").agg(F.max(F.struct("n", "letters", "lang"))["lang"].alias("main_lang"))
+    return known.join(main, "doc_id").where("lang <> main_lang").select("doc_id", "page", "block_no", "lang", "confidence")
+
+
+def paragraph_languages(blocks: DataFrame, model: LanguageModel, repair: Callable[[str], str]) -> DataFrame:
+    """Per text block its language, confidence, letters and characters."""
+    shared = blocks.sparkSession.sparkContext.broadcast((model, repair))
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m, fix = shared.value
         for pdf in batches:
-            texts = pdf.pop("__text").tolist()
+            texts = [" ".join(fix(w) for w in t.split(" ")) for t in pdf["text"].tolist()]
             sums = m.sums(texts)
-            best = sums.argmax(axis=1)
-            has = sums.any(axis=1)
-            yield pdf.assign(
-                lang=[LANGS[b] if h else None for b, h in zip(best, has)],
-                confidence=[_confidence(s, b) if h else 0.0 for s, b, h in zip(sums, best, has)],
-                letters=[sum(map(len, WORD.findall(t))) for t in texts],
-                scores=list(sums),
-            )
-
-    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, F.col(text).alias("__text")).mapInPandas(label, f"{schema}, lang string, confidence double, letters int, scores array<double>")
+            yield pd.DataFrame(
+                {
+                    "doc_id": pdf["doc_id"], "page": pdf["page"], "block_no": pdf["block_no"],
+                    "letters": [sum(map(len, WORD.findall(t))) for t in texts],
+                    "lang": [LANGS[s.argmax()] if s.any() else None for s in sums],
+                    "margin": [float(np.sort(s)[-1] - np.sort(s)[-2]) if s.any() else 0.0 for s in sums],
+                    "confidence": [_confidence(s, int(s.argmax())) if s.any() else 0.0 for s in sums],
+                }
+            )
+
+    return blocks.where(F.col("text").isNotNull()).select("doc_id", "page", "block_no", "text").mapInPandas(
+        label, "doc_id bigint, page int, block_no int, letters int, lang string, margin double, confidence double"
+    )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.llm.encoding import fit_garbling, garbled_words
+from quirefold.llm.language import document_languages, fit, page_cases, paragraph_cases, paragraph_languages, word_pages
 from quirefold.llm.lookalike import fit_lookalikes, inconsistent
 from quirefold.llm.scan_noise import scan_noise
 from quirefold.llm.sentences import sentences
@@ -47,6 +48,32 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_canonical(spark, sf_dir).select("src", "doc_id", "page", "block_no", "item_no")
 
 
+def p5_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, segments, pages and paragraphs whose language label is missing or wrong, and the
+    segments of mixed documents, with the right language and a confidence."""
+    lexicon = table(spark, sf_dir, "lexicon")
+    model, repair = fit(lexicon), fit_garbling(lexicon).restored
+    runs = document_languages(table(spark, sf_dir, "documents"), model)
+    doc_case = (F.col("run_no") == 0) & (F.col("label").isNull() | (F.col("label") != F.col("main_lang")))
+    row = lambda src, item, lang, conf: F.struct(F.lit(src).alias("src"), item.cast("int").alias("item_no"), lang.alias("lang"), conf.alias("confidence"))
+    both = F.array(
+        F.when(doc_case, row("documents", F.lit(-1), F.col("main_lang"), F.col("main_share"))),
+        F.when(F.col("n_langs") > 1, row("segments", F.col("start_pos"), F.col("lang"), F.col("confidence"))),
+    )
+    docs = runs.select("doc_id", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("r")).select(
+        "r.src", "doc_id", F.lit(-1).alias("page"), "r.item_no", "r.lang", "r.confidence"
+    )
+    pages = page_cases(word_pages(table(spark, sf_dir, "words"), model, repair))
+    paragraphs = paragraph_cases(paragraph_languages(table(spark, sf_dir, "blocks"), model, repair))
+    return docs.unionByName(pages.select(F.lit("words").alias("src"), "doc_id", "page", F.lit(-1).alias("item_no"), "lang", "confidence")).unionByName(
+        paragraphs.select(F.lit("blocks").alias("src"), "doc_id", "page", F.col("block_no").alias("item_no"), "lang", "confidence")
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_labels(spark, sf_dir).drop("confidence")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -67,6 +94,8 @@ QUERIES = {
     "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_canonical": p4_canonical,
+    "p5_found": p5_found,
+    "p5_labels": p5_labels,
     "p10_found": p10_found,
     "p10_lengths": p10_lengths,
 }
