@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.encoding import fit_garbling, garbled_words
 from quirefold.llm.language import document_languages, fit, page_cases, paragraph_cases, paragraph_languages, word_pages
+from quirefold.llm.leakage import index_cases, leaked_sentences
 from quirefold.llm.lookalike import fit_lookalikes, inconsistent
 from quirefold.llm.scan_noise import scan_noise
 from quirefold.llm.sentences import sentences
@@ -74,6 +75,15 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_labels(spark, sf_dir).drop("confidence")
 
 
+def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaked sentence with its place in the document and its score."""
+    return leaked_sentences(table(spark, sf_dir, "documents"), index_cases(table(spark, sf_dir, "bench_cases")))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_passages(spark, sf_dir).select("case_id", "doc_id").distinct()
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -96,6 +106,8 @@ QUERIES = {
     "p4_canonical": p4_canonical,
     "p5_found": p5_found,
     "p5_labels": p5_labels,
+    "p9_found": p9_found,
+    "p9_passages": p9_passages,
     "p10_found": p10_found,
     "p10_lengths": p10_lengths,
 }
