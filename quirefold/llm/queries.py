@@ -9,11 +9,23 @@ from quirefold.llm.encoding import fit_garbling, garbled_words
 from quirefold.llm.language import document_languages, fit, page_cases, paragraph_cases, paragraph_languages, word_pages
 from quirefold.llm.leakage import index_cases, leaked_sentences
 from quirefold.llm.lookalike import fit_lookalikes, inconsistent
+from quirefold.llm.personal import masked, personal_items, texts_of
 from quirefold.llm.scan_noise import scan_noise
 from quirefold.llm.sentences import sentences
 from quirefold.session import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = texts_of(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "cells"))
+    return personal_items(texts, table(spark, sf_dir, "lexicon"))
+
+
+def p1_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that hold items, with typed placeholders in their place."""
+    texts = texts_of(table(spark, sf_dir, "blocks"), table(spark, sf_dir, "cells"))
+    return masked(texts, personal_items(texts, table(spark, sf_dir, "lexicon"))).where("n_items > 0")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = table(spark, sf_dir, "lexicon")
     return scan_noise(
@@ -99,6 +111,8 @@ def p10_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_masked": p1_masked,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
