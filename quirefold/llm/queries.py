@@ -9,10 +9,13 @@ from quirefold.llm.encoding import fit_garbling, garbled_words
 from quirefold.llm.language import document_languages, fit, page_cases, paragraph_cases, paragraph_languages, word_pages
 from quirefold.llm.leakage import index_cases, leaked_sentences
 from quirefold.llm.lookalike import fit_lookalikes, inconsistent
+from quirefold.llm.packing import containers, token_counts
 from quirefold.llm.personal import masked, personal_items, texts_of
+from quirefold.llm.quantiles import merged, percentiles, sketches
 from quirefold.llm.scan_noise import scan_noise
 from quirefold.llm.sentences import sentences
-from quirefold.session import table
+from quirefold.operators.once import instant_micros
+from quirefold.session import staged, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +90,68 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_labels(spark, sf_dir).drop("confidence")
 
 
+SHARES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
+
+
+def _journal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per message and metric, with its groups."""
+    day = F.date_format(F.timestamp_micros(instant_micros(F.col("time"))), "yyyy-MM-dd").alias("day")
+    pair = F.explode(F.array(F.struct(F.lit("seconds").alias("metric"), F.col("seconds").alias("v")), F.struct(F.lit("pages").alias("metric"), F.col("pages").cast("double").alias("v"))))
+    return table(spark, sf_dir, "journal").select("outcome", "reason", day, pair.alias("m")).select("m.metric", "outcome", "reason", "day", F.col("m.v").alias("v"))
+
+
+def _by(cells: DataFrame, dimension: str) -> DataFrame:
+    key = F.lit("all") if dimension == "all" else F.coalesce(F.col(dimension), F.lit("(none)"))
+    return cells.select("metric", F.lit(dimension).alias("dimension"), key.alias("key"), "cell", "value")
+
+
+def p6_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches by outcome, reason, day and route, and over all, merged from those of single days."""
+    parts = staged(sketches(_journal_values(spark, sf_dir), ["metric", "outcome", "reason", "day"], F.col("v")), "sketches")
+    plan = table(spark, sf_dir, "page_plan").select(F.lit("estimated_ms").alias("metric"), "route", F.col("estimated_ms").alias("v"))
+    routes = _by(sketches(plan, ["metric", "route"], F.col("v")), "route")
+    cells = _by(parts, "outcome").unionByName(_by(parts, "reason")).unionByName(_by(parts, "day")).unionByName(_by(parts, "all"))
+    return merged(cells, ["metric", "dimension", "key"]).unionByName(routes)
+
+
+def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return percentiles(p6_sketches(spark, sf_dir), ["metric", "dimension", "key"], SHARES)
+
+
+def p6_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the true rank of each estimate by outcome is within its stated bound."""
+    values = _journal_values(spark, sf_dir).select("metric", F.coalesce("outcome", F.lit("(none)")).alias("key"), "v").where("v is not null")
+    cells = sketches(values, ["metric", "key"], F.col("v"))
+    found = percentiles(cells, ["metric", "key"], SHARES)
+    each = found.groupBy("metric", "key").agg(F.sort_array(F.collect_list(F.struct("share", "estimate", "rank_bound", "value_bound", "n"))).alias("e"))
+    joined = values.join(F.broadcast(each), ["metric", "key"])  # one row per outcome and metric
+    below = [F.count_if(F.col("v") < F.col("e")[i]["estimate"] * (1 - F.col("e")[i]["value_bound"])).alias(f"lo{i}") for i in range(len(SHARES))]
+    upto = [F.count_if(F.col("v") <= F.col("e")[i]["estimate"] * (1 + F.col("e")[i]["value_bound"])).alias(f"hi{i}") for i in range(len(SHARES))]
+    counted = joined.groupBy("metric", "key").agg(F.first("e").alias("e"), *below, *upto)
+    rows = [
+        F.struct(
+            F.lit(p).alias("share"),
+            F.col("e")[i]["n"].alias("n"),
+            ((F.col(f"lo{i}") <= (p + F.col("e")[i]["rank_bound"]) * F.col("e")[i]["n"]) & (F.col(f"hi{i}") >= (p - F.col("e")[i]["rank_bound"]) * F.col("e")[i]["n"])).alias("within_bound"),
+        )
+        for i, p in enumerate(SHARES)
+    ]
+    return counted.select("metric", "key", F.explode(F.array(*rows)).alias("r")).select("metric", "key", "r.*")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or piece of a text above the capacity, with its container, for each capacity."""
+    return containers(token_counts(table(spark, sf_dir, "documents")), table(spark, sf_dir, "container_sizes"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity: containers, the least number that could do, and the share filled."""
+    per = p8_containers(spark, sf_dir).groupBy("size_id", "capacity_tokens", "container_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("items"))
+    return per.groupBy("size_id", "capacity_tokens").agg(
+        F.count("*").alias("n_containers"), F.sum("items").alias("n_items"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest")
+    ).withColumns({"least_containers": F.ceil(F.col("n_tokens") / F.col("capacity_tokens")), "filled": F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))})
+
+
 def p9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every leaked sentence with its place in the document and its score."""
     return leaked_sentences(table(spark, sf_dir, "documents"), index_cases(table(spark, sf_dir, "bench_cases")))
@@ -120,9 +185,20 @@ QUERIES = {
     "p4_canonical": p4_canonical,
     "p5_found": p5_found,
     "p5_labels": p5_labels,
+    "p6_percentiles": p6_percentiles,
+    "p6_bounds": p6_bounds,
+    "p8_containers": p8_containers,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
     "p9_passages": p9_passages,
     "p10_found": p10_found,
     "p10_lengths": p10_lengths,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p6_bounds": f"""
+        WITH v AS (
+          SELECT 'seconds' AS metric, coalesce(outcome, '(none)') AS key, seconds AS v FROM journal
+          UNION ALL SELECT 'pages', coalesce(outcome, '(none)'), pages FROM journal)
+        SELECT metric, key, share::DOUBLE AS share, count(v) AS n, true AS within_bound
+        FROM v, unnest([{", ".join(map(str, SHARES))}]) AS s(share) WHERE v IS NOT NULL GROUP BY metric, key, share""",
+}
