@@ -14,7 +14,7 @@ MOST_BYTES = 20 * 1024 * 1024
 
 
 def folder(spark: SparkSession, path: str, suffixes: str = "*.{pdf,jpg,jpeg,png,webp,heic}") -> DataFrame:
-    """Every file below a folder with its bytes, by suffix."""
+    """Every file below a folder with its bytes, by suffix. The file source passes over files without bytes."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", suffixes).load(path)
 
 

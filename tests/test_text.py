@@ -1,0 +1,49 @@
+"""Text functions against the given cases."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from quirefold.functions import text as tx
+
+
+def one(spark, expr, **values):
+    df = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} string" for k in values))
+    return df.select(expr.alias("x")).first()["x"]
+
+
+def test_hyphens_and_line_joins(spark):
+    lines = ["The inter-", "national standard is ISO-", "9001 and uses state-of-", "the-art controls."]
+    df = spark.createDataFrame([(lines,)], "l array<string>").select(tx.fold_lines(F.col("l")).alias("x"))
+    assert df.first()["x"] == "The international standard is ISO-9001 and uses state-of-the-art controls."
+
+
+@pytest.mark.parametrize("a,b,want", [("word", "word", " "), ("(", "a", ""), ("a", ",", ""), ("文", "档", ""), ("号", "2026", ""), ("a", "文", ""), ("", "a", "")])
+def test_separators(spark, a, b, want):
+    assert one(spark, tx.separator(F.col("a"), F.col("b")), a=a, b=b) == want
+
+
+def test_han_line(spark):
+    words = ["文档编号", "2026-A17", "，", "金额", "123.45", "元", "。"]
+    fold = F.aggregate(F.col("w"), F.lit(""), lambda acc, x: F.concat(acc, tx.separator(acc, x), x))
+    assert spark.createDataFrame([(words,)], "w array<string>").select(fold.alias("x")).first()["x"] == "文档编号2026-A17，金额123.45元。"
+
+
+@pytest.mark.parametrize("a,b,want", [("hello", "hallo", 0.2), ("same", "same", 0.0), ("123/45،", "12345.", 0.0), ("", "", 0.0), ("", "ab", 2.0)])
+def test_error_rates(spark, a, b, want):
+    assert one(spark, tx.error_rate(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(want)
+
+
+def test_scripts_and_directions(spark):
+    t = "Oʻzbekiston Қазақстан μm 5"
+    assert one(spark, tx.letters(F.col("t"), "Cyrillic"), t=t) == 9
+    assert one(spark, tx.letters(F.col("t"), "Latin"), t=t) == 11
+    assert one(spark, tx.letters(F.col("t"), "Arabic"), t="Раздел القسم 第一節") == 5
+    assert one(spark, tx.letters(F.col("t"), "Han"), t="Раздел القسم 第一節") == 3
+    assert one(spark, tx.direction(F.col("t")), t="البند 12، الإصدار A-3.") == "rtl"
+    assert one(spark, tx.direction(F.col("t")), t="item 12") == "ltr"
+
+
+def test_votes_and_blanks(spark):
+    assert one(spark, tx.vote_form(F.col("a")) == tx.vote_form(F.col("b")), a="PO‘C|", b="РОʻС") is True
+    assert one(spark, tx.collapsed(F.col("t")), t="  a  \n b ") == "a b"
+    assert one(spark, tx.bad_characters(F.col("t")), t="a\x00�\nb") == 2
