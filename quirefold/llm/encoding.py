@@ -244,11 +244,9 @@ def garbled_words(words: DataFrame, model: Garbling, keys: tuple[str, ...] = ("d
         for pdf in batches:
             v = [verdict(t) for t in pdf["text"].tolist()]
             hit = [i for i, x in enumerate(v) if x[0] != "clean"]
-            out = pdf.iloc[hit].copy()
-            out["kind"] = [v[i][0] for i in hit]
-            out["restored"] = [v[i][1] for i in hit]
-            out["chains"] = [list(v[i][2]) for i in hit]
-            yield out
+            out = pdf.iloc[hit].reset_index(drop=True)
+            new = {"kind": [v[i][0] for i in hit], "restored": [v[i][1] for i in hit], "chains": [list(v[i][2]) for i in hit]}
+            yield out.assign(**{k: pd.Series(x, dtype=object) for k, x in new.items()})
 
     schema = ", ".join(f"`{k}` {words.schema[k].dataType.simpleString()}" for k in keys)
     judged = staged(

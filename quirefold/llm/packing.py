@@ -106,10 +106,10 @@ def fill_window(lengths: list[int], capacity: int) -> list[tuple[list[int], int]
 def _pack(items: DataFrame, n_windows: dict[int, int], round_no: int) -> DataFrame:
     """One round: containers of every (size, window)."""
     windows = F.create_map(*[F.lit(x) for k, v in n_windows.items() for x in (k, v)])
-    placed = items.withColumn("window", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(round_no)), F.element_at(windows, F.col("size_id"))).cast("int"))
+    placed = items.withColumn("window", F.pmod(F.xxhash64("row_no", "piece_no", F.lit(round_no)), F.element_at(windows, F.col("size_id"))).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n_tokens", "doc_id", "piece_no"], ascending=[False, True, True]).reset_index(drop=True)
+        pdf = pdf.sort_values(["n_tokens", "row_no", "piece_no"], ascending=[False, True, True]).reset_index(drop=True)
         capacity = int(pdf["capacity_tokens"].iloc[0])
         lengths = pdf["n_tokens"].tolist()
         rows: dict[int, list[int]] = defaultdict(list)
@@ -130,7 +130,7 @@ def _pack(items: DataFrame, n_windows: dict[int, int], round_no: int) -> DataFra
 
     return placed.groupBy("size_id", "window").applyInPandas(
         pack,
-        "size_id int, capacity_tokens int, doc_id bigint, piece_no int, start_token bigint, n_tokens bigint, window int, box_no int, slack int, round_no int",
+        "size_id int, capacity_tokens int, doc_id bigint, row_no bigint, piece_no int, start_token bigint, n_tokens bigint, window int, box_no int, slack int, round_no int",
     )
 
 
@@ -145,14 +145,15 @@ def containers(tokens: DataFrame, sizes: DataFrame, window: int = WINDOW, limit:
     if not caps:
         caps = {0: 1}
         tokens = tokens.limit(0)
-    tokens = staged(tokens, "token-counts")
+    tokens = staged(tokens.select("doc_id", "n_tokens").withColumn("row_no", F.monotonically_increasing_id()), "token-counts")  # repeated rows stay apart
     size = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("size_id"), F.lit(v).cast("int").alias("capacity_tokens")) for k, v in sorted(caps.items())]))
-    each = tokens.select("doc_id", "n_tokens", size.alias("s")).select("doc_id", "n_tokens", "s.*")
+    each = tokens.select("doc_id", "row_no", "n_tokens", size.alias("s")).select("doc_id", "row_no", "n_tokens", "s.*")
     last = F.greatest(F.lit(0), F.ceil(F.col("n_tokens") / F.col("capacity_tokens")) - 1).cast("int")
     items = each.withColumn("piece_no", F.explode(F.sequence(F.lit(0), last))).select(
         "size_id",
         "capacity_tokens",
         "doc_id",
+        "row_no",
         "piece_no",
         (F.col("piece_no").cast("long") * F.col("capacity_tokens")).alias("start_token"),
         F.least(F.col("capacity_tokens").cast("long"), F.col("n_tokens") - F.col("piece_no").cast("long") * F.col("capacity_tokens")).alias("n_tokens"),
@@ -169,7 +170,7 @@ def containers(tokens: DataFrame, sizes: DataFrame, window: int = WINDOW, limit:
     second = _pack(rest, {k: max(1, math.ceil(m.get(k, 0) / window)) for k in caps}, 2)
     keep = ["size_id", "capacity_tokens", "doc_id", "piece_no", "start_token", "n_tokens"]
     named = F.concat_ws("-", "size_id", "round_no", "window", "box_no").alias("container_id")
-    full = F.concat_ws("-", "size_id", F.lit("full"), "doc_id", "piece_no").alias("container_id")
+    full = F.concat_ws("-", "size_id", F.lit("full"), "row_no", "piece_no").alias("container_id")
     return (
         whole.select(*keep, full)
         .unionByName(first.where(~loose).select(*keep, named))
