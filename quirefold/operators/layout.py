@@ -4,6 +4,8 @@ partition key, so a page is never split and pages spread over the cluster."""
 from __future__ import annotations
 
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,100 +150,133 @@ def vertical_spacing(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("space_before", F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(30.0), gap)), F.lit(0.0))).where("block_type = 'paragraph'")
 
 
-def _rows_of_page(pdf: pd.DataFrame) -> pd.DataFrame:
+def by_page(df: DataFrame, order: list[str], visit: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """Rows of each page, in order, through a Python function. Pages are hashed to partitions and sorted
+    there, and batches are cut at pages, so no data frame is built per page; `visit` gets the rows as
+    tuples of (doc_id, page, *order, ...) and returns rows of `schema`."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for pdf in batches:
+            held += list(pdf.itertuples(index=False, name=None))
+            out: list[tuple] = []
+            start = 0
+            for i in range(1, len(held)):
+                if held[i][0] != held[start][0] or held[i][1] != held[start][1]:
+                    out += visit(held[start:i])
+                    start = i
+            held = held[start:]
+            yield pd.DataFrame(out, columns=names)
+        if held:
+            yield pd.DataFrame(visit(held), columns=names)
+
+    rest = [c for c in df.columns if c not in (*PAGE, *order)]
+    keyed = df.select(*PAGE, *order, *rest).repartition(*PAGE)
+    return keyed.sortWithinPartitions(*PAGE, *order).mapInPandas(walk, schema)
+
+
+def _rows_of_page(rows: list[tuple]) -> list[tuple]:
     """Segments of a page to visual rows: each joins the first row whose centre is near and which it
-    doesn't overlap sideways."""
-    pdf = pdf.assign(cy=(pdf["y0"] + pdf["y1"]) / 2, h=pdf["y1"] - pdf["y0"]).sort_values(["cy", "x0", "line_key", "segment_no"], kind="stable").reset_index(drop=True)
-    rows: list[dict] = []
-    numbers = []
-    for s in pdf.itertuples(index=False):
+    doesn't overlap sideways. rows: doc_id, page, cy, x0, line_key, segment_no, y0, x1, h."""
+    found: list[dict] = []
+    home_of = []
+    for _, _, cy, x0, _, _, y0, x1, h in rows:
         home = None
-        for k, r in enumerate(rows):
-            near = abs(s.cy - sum(r["cy"]) / len(r["cy"])) <= 0.45 * min(s.h, r["h"])
-            if near and all(s.x1 <= a or s.x0 >= b for a, b in r["spans"]):
+        for k, r in enumerate(found):
+            if abs(cy - r["sum"] / r["n"]) <= 0.45 * min(h, r["h"]) and all(x1 <= a or x0 >= b for a, b in r["spans"]):
                 home = k
                 break
         if home is None:
-            rows.append({"cy": [s.cy], "h": s.h, "spans": [(s.x0, s.x1)], "top": s.y0})
-            home = len(rows) - 1
+            found.append({"sum": cy, "n": 1, "h": h, "spans": [(x0, x1)], "top": y0})
+            home = len(found) - 1
         else:
-            r = rows[home]
-            r["cy"].append(s.cy)
-            r["h"] = min(r["h"], s.h)
-            r["spans"].append((s.x0, s.x1))
-            r["top"] = min(r["top"], s.y0)
-        numbers.append(home)
-    rank = {k: i for i, k in enumerate(sorted(range(len(rows)), key=lambda k: (rows[k]["top"], k)))}
-    return pd.DataFrame({"doc_id": pdf["doc_id"], "page": pdf["page"], "line_key": pdf["line_key"], "segment_no": pdf["segment_no"], "row_no": [rank[k] for k in numbers]})
+            r = found[home]
+            r["sum"] += cy
+            r["n"] += 1
+            r["h"] = min(r["h"], h)
+            r["spans"].append((x0, x1))
+            r["top"] = min(r["top"], y0)
+        home_of.append(home)
+    rank = {k: i for i, k in enumerate(sorted(range(len(found)), key=lambda k: (found[k]["top"], k)))}
+    return [(r[0], r[1], r[4], r[5], rank[k]) for r, k in zip(rows, home_of)]
 
 
 def visual_rows(segment_rows: DataFrame) -> DataFrame:
-    """Greedy rows over segments (doc_id, page, line_key, segment_no and box); a page is one group."""
-    cols = [*PAGE, "line_key", "segment_no", "x0", "y0", "x1", "y1"]
-    return segment_rows.select(*cols).groupBy(*PAGE).applyInPandas(_rows_of_page, "doc_id bigint, page int, line_key string, segment_no bigint, row_no int")
-
-
-def _flow_page(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Lines of a page in reading order to paragraphs, with the tests on the paragraph so far."""
-    pdf = pdf.sort_values(["y0", "x0", "line_key"], kind="stable").reset_index(drop=True)
-    right, left = float(pdf["right_margin"].iloc[0]), float(pdf["left_margin"].iloc[0])
-    gaps = sorted(g for g in (pdf["y0"].iloc[i] - pdf["y1"].iloc[i - 1] for i in range(1, len(pdf))) if g >= 0)
-    pitch = gaps[len(gaps) // 2] if gaps else 0.3 * float((pdf["y1"] - pdf["y0"]).median())
-    out: list[int] = []
-    group: list = []
-    for cur in pdf.itertuples(index=False):
+    """Greedy rows over segments (doc_id, page, line_key, segment_no and box), page by page."""
+    d = segment_rows.select(*PAGE, ((F.col("y0") + F.col("y1")) / 2).alias("cy"), "x0", "line_key", "segment_no", "y0", "x1", height().alias("h"))
+    return by_page(d, ["cy", "x0", "line_key", "segment_no"], _rows_of_page, "doc_id bigint, page int, line_key string, segment_no bigint, row_no int")
+
+
+def _flow_page(rows: list[tuple]) -> list[tuple]:
+    """Lines of a page in reading order to paragraphs, with the tests on the paragraph so far. rows:
+    doc_id, page, y0, x0, line_key, y1, x1, size, bold_ratio, item, first_share, left, right."""
+    left, right = rows[0][11], rows[0][12]
+    gaps = sorted(g for g in (b[2] - a[5] for a, b in zip(rows, rows[1:])) if g >= 0)
+    heights = sorted(r[5] - r[2] for r in rows)
+    pitch = gaps[len(gaps) // 2] if gaps else 0.3 * heights[len(heights) // 2]
+    out: list[tuple] = []
+    group: list[tuple] = []
+    number = 0
+    for cur in rows:
+        new = not group
         if group:
             prev, first = group[-1], group[0]
-            em, gap = max(4.0, prev.size), cur.y0 - prev.y1
-            if first.item:
-                new = cur.item or not (cur.x0 >= first.x0 + 0.3 * em and gap <= 0.6 * em)
+            em, gap = max(4.0, prev[7]), cur[2] - prev[5]
+            if first[9]:
+                new = cur[9] or not (cur[3] >= first[3] + 0.3 * em and gap <= 0.6 * em)
             else:
-                inner = min([x.x0 for x in group[1:]] or [left])
-                head = cur.text.split()[0] if cur.text.split() else ""
+                inner = min((x[3] for x in group[1:]), default=left)
                 space = 0.3 * em
-                fits_not = prev.x1 + space + (cur.x1 - cur.x0) * len(head) / max(1, len(cur.text)) > right - 0.5 * space
-                short = prev.x1 < right - 2.5 * em and not fits_not
+                wrapped = prev[6] + space + (cur[6] - cur[3]) * cur[10] > right - 0.5 * space
                 new = (
                     gap > max(0.75 * pitch, 0.6 * em)
-                    or abs(cur.size - prev.size) > 0.2 * prev.size
-                    or (prev.bold_ratio >= 0.6) != (cur.bold_ratio >= 0.6)
-                    or cur.item
-                    or short
-                    or cur.x0 > min(inner, prev.x0) + 0.8 * em
+                    or abs(cur[7] - prev[7]) > 0.2 * prev[7]
+                    or (prev[8] >= 0.6) != (cur[8] >= 0.6)
+                    or cur[9]
+                    or (prev[6] < right - 2.5 * em and not wrapped)
+                    or cur[3] > min(inner, prev[3]) + 0.8 * em
                 )
-            if new:
-                group = []
-        out.append((out[-1] if out else 0) + (not group))
+        if new:
+            number += 1
+            group = []
         group.append(cur)
-    return pdf[["doc_id", "page", "line_key"]].assign(paragraph_no=out)
+        out.append((cur[0], cur[1], cur[4], number))
+    return out
 
 
 def flow_paragraphs(line_rows: DataFrame) -> DataFrame:
-    """Paragraph number of each line with tests that look at the whole paragraph; a page is one group."""
-    d = line_rows.join(margins(line_rows), PAGE).withColumn("item", F.col("text").rlike(LIST_PREFIX))
-    cols = [*PAGE, "line_key", "x0", "y0", "x1", "y1", "size", "bold_ratio", "text", "item", "left_margin", "right_margin"]
-    return d.select(*cols).groupBy(*PAGE).applyInPandas(_flow_page, "doc_id bigint, page int, line_key string, paragraph_no int")
+    """Paragraph number of each line with tests that look at the whole paragraph, page by page."""
+    head = F.length(F.regexp_extract("text", r"^\s*(\S*)", 1)) / F.greatest(F.lit(1), F.length("text"))
+    d = line_rows.join(margins(line_rows), PAGE).select(
+        *PAGE, "y0", "x0", "line_key", "y1", "x1", "size", "bold_ratio", F.col("text").rlike(LIST_PREFIX).alias("item"), head.alias("head"), "left_margin", "right_margin"
+    )
+    return by_page(d, ["y0", "x0", "line_key"], _flow_page, "doc_id bigint, page int, line_key string, paragraph_no int")
 
 
 def grid_rows(segment_rows: DataFrame, columns: int = 3, rows: int = 3, tolerance: float = 6.0) -> DataFrame:
     """Runs of at least `rows` consecutive visual rows with `columns` segments whose left edges agree."""
 
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        found, run = [], []
-        for _, g in pdf.sort_values(["row_no", "x0"]).groupby("row_no"):
-            starts = g["x0"].tolist()
-            fits = len(starts) >= columns and (not run or len(starts) == len(run[-1]) and all(abs(a - b) <= tolerance for a, b in zip(starts, run[-1])))
-            if fits:
-                run.append(starts)
+    def find(page: list[tuple]) -> list[tuple]:
+        found, run, line = [], [], []
+
+        def close() -> None:
+            if len(run) >= rows:
+                found.append((page[0][0], page[0][1], len(run), len(run[0])))
+
+        lines: dict[int, list[float]] = {}
+        for _, _, row_no, x0 in page:
+            lines.setdefault(row_no, []).append(x0)
+        for line in lines.values():
+            if len(line) >= columns and (not run or len(line) == len(run[-1]) and all(abs(a - b) <= tolerance for a, b in zip(line, run[-1]))):
+                run.append(line)
             else:
-                if len(run) >= rows:
-                    found.append((len(run), len(run[0])))
-                run = [starts] if len(starts) >= columns else []
-        if len(run) >= rows:
-            found.append((len(run), len(run[0])))
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "page": pdf["page"].iloc[0], "n_rows": [f[0] for f in found], "n_columns": [f[1] for f in found]})
-
-    return segment_rows.groupBy(*PAGE).applyInPandas(find, "doc_id bigint, page int, n_rows int, n_columns int")
+                close()
+                run = [line] if len(line) >= columns else []
+        close()
+        return found
+
+    return by_page(segment_rows.select(*PAGE, "row_no", "x0"), ["row_no", "x0"], find, "doc_id bigint, page int, n_rows int, n_columns int")
 
 
 def style_runs(words: DataFrame) -> DataFrame:

@@ -49,6 +49,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a table that lies in fewer splits than there are cores, hashed by key over the cores, for
+    work in Python that costs far more than the move. A table in many splits is read as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (`spark.checkpoint.dir`). Only where it is unset, as in
     tests on one machine, a temporary folder takes its place."""
