@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.sentences import sentence_spans
+from quirefold.session import spread
 
 LANGS = ("en", "ru", "kk", "uz", "az", "ar", "fa", "zh")
 _AT = {k: i for i, k in enumerate(LANGS)}
@@ -242,7 +243,7 @@ def document_languages(docs: DataFrame, model: LanguageModel, switch: float = 6.
                     rows += [(k, i, a, n, lang, conf, two_letter(own), main, part, len(share)) for i, (a, n, lang, conf) in enumerate(runs)]
             yield pd.DataFrame(rows, columns=cols)
 
-    return docs.where(F.length("text") > 0).select("doc_id", "text", "lang").mapInPandas(
+    return spread(docs.where(F.length("text") > 0).select("doc_id", "text", "lang"), "doc_id").mapInPandas(
         label,
         "doc_id bigint, run_no int, start_pos int, n_chars int, lang string, confidence double, label string, main_lang string, main_share double, n_langs int",
     )
@@ -268,7 +269,7 @@ def word_pages(words: DataFrame, model: LanguageModel, repair: Callable[[str], s
                 out[f"l_{lang}"] = np.where(has & (best == k), letters, 0).astype(float)
             yield out.groupby(["doc_id", "page"], sort=False).sum().reset_index()
 
-    part = words.where(F.col("text").isNotNull()).select("doc_id", "page", "text").mapInPandas(
+    part = spread(words.where(F.col("text").isNotNull()).select("doc_id", "page", "text"), "doc_id", "page").mapInPandas(
         score, "doc_id bigint, page int, " + ", ".join(f"{k} double" for k in sums)
     )
     named = words.groupBy("doc_id", "page").agg(F.collect_set("language_profile").alias("profiles"))  # a few codes a page
@@ -324,6 +325,6 @@ def paragraph_languages(blocks: DataFrame, model: LanguageModel, repair: Callabl
                 }
             )
 
-    return blocks.where(F.col("text").isNotNull()).select("doc_id", "page", "block_no", "text").mapInPandas(
+    return spread(blocks.where(F.col("text").isNotNull()).select("doc_id", "page", "block_no", "text"), "doc_id", "page").mapInPandas(
         label, "doc_id bigint, page int, block_no int, letters int, lang string, margin double, confidence double"
     )

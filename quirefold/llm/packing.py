@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirefold.session import staged
+from quirefold.session import spread, staged
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how byte-level BPE vocabularies of this kind part a text before merging.
@@ -47,7 +47,7 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(encode(t)) for t in pdf["text"].tolist()]})
 
-    return docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInPandas(count, "doc_id bigint, n_tokens bigint")
+    return spread(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), "doc_id").mapInPandas(count, "doc_id bigint, n_tokens bigint")
 
 
 def _steps(counts: dict[int, int], room: int) -> Iterator[tuple[int, int]]:

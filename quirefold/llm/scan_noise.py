@@ -28,7 +28,7 @@ from pyspark.sql import Window
 
 from quirefold.llm.encoding import Garbling
 from quirefold.llm.lookalike import Lookalikes
-from quirefold.session import staged
+from quirefold.session import spread, staged
 
 # What is printed and what is read for it.
 CONFUSIONS = (
@@ -243,7 +243,7 @@ def scan_tokens(words: DataFrame, blocks: DataFrame, plan: DataFrame, looks: Loo
     )
     b = blocks.where(F.col("text").isNotNull()).select("doc_id", "page", "block_no", "text").join(pages, ["doc_id", "page"], "left").withColumn("ocr", ocr)
     return staged(
-        w.mapInPandas(_mapper(shared, _rows_of_words), _SCHEMA).unionByName(b.mapInPandas(_mapper(shared, _rows_of_blocks), _SCHEMA)), "scan-tokens"
+        w.mapInPandas(_mapper(shared, _rows_of_words), _SCHEMA).unionByName(spread(b, "doc_id", "page", "block_no").mapInPandas(_mapper(shared, _rows_of_blocks), _SCHEMA)), "scan-tokens"
     )
 
 
@@ -332,12 +332,17 @@ def edge_lines(blocks: DataFrame, plan: DataFrame, headers: list[str]) -> DataFr
     `headers` is bounded by the share in running_headers."""
     pages = plan.groupBy("doc_id", "page").agg(F.bool_or(F.col("route") == "OCR").alias("ocr")).where("ocr")
     b = blocks.where(F.col("text").isNotNull() & (F.col("kind").isNull() | ~F.col("kind").isin("page_number", "footer"))).join(pages, ["doc_id", "page"])
+    b = spread(b.select("doc_id", "page", "block_no", "kind", "text"), "doc_id", "page", "block_no")
     t = template(F.col("text"))
     has = F.lit(False)
     if headers:
         body = "|".join(re.escape(h).replace("9", r"\d+").replace(r"a\-\d+", r"\p{L}\-\d+").replace(r"\ ", r"\s+") for h in sorted(headers, key=lambda h: (-len(h), h)))
-        near = F.exists(F.array(*map(F.lit, headers)), lambda h: F.levenshtein(t, h) * 5 <= F.length(h))
-        has = near | F.col("text").rlike(rf"(?iu)(?:^|[\s\p{{IsHan}}])(?:{body})(?=$|[\s\p{{IsHan}}])")
+        near = (F.length("text") <= 80) & F.exists(F.array(*map(F.lit, headers)), lambda h: F.levenshtein(t, h) * 5 <= F.length(h))
+        # only a text that holds the longest piece of a header without digits is matched with the pattern
+        pieces = sorted({max(re.split(r"[\d\s]+|a-", h), key=len) for h in headers})
+        low = F.lower("text")
+        maybe = F.exists(F.array(*map(F.lit, pieces)), lambda x: F.contains(low, x))
+        has = near | maybe & F.col("text").rlike(rf"(?iu)(?:^|[\s\p{{IsHan}}])(?:{body})(?=$|[\s\p{{IsHan}}])")
     head = b.where((F.col("kind").isNull() | (F.col("kind") != "heading")) & has).select("doc_id", "page", "block_no", F.lit("header").alias("noise"))
     number = b.where(F.col("text").rlike(_PAGE_ALONE) | _inner_page_number(F.col("text"))).select("doc_id", "page", "block_no", F.lit("page_no").alias("noise"))
     return head.unionByName(number)

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirefold.session import spread
+
 PARAGRAPH = re.compile(r"(?:\r?\n| )[^\S\n]*(?:\r?\n| )\s*| \s*")
 MARK = re.compile(r"(?:[.!?…]+|[。！？｡؟۔।॥]+)[»”\"’›」』）)\]】]*")
 LIST_MARK = re.compile(r"\s*(?:[(（]?(?:\d{1,4}|[ivxlcIVXLC]{2,5})[.)）]|[(（]?[^\W\d_][)）]|[-–—•*·])(?=\s|[^\W\d])")
@@ -202,6 +204,6 @@ def sentences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             yield pd.DataFrame({key: ks, "start_pos": ss, "end_pos": es})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(
+    return spread(df.where(F.length(F.trim(text)) > 0).select(F.col(key).alias("k"), F.col(text).alias("t")), "k").mapInPandas(
         split, f"`{key}` {kind}, start_pos int, end_pos int"
     )
