@@ -112,7 +112,7 @@ def skew(ink: np.ndarray, limit: float = 8.0, step: float = 0.5, gain: float = 1
     def sharp(angle: float) -> float:
         rows = np.rint(ys - (xs - ink.shape[1] / 2) * np.tan(np.radians(angle))).astype(int)
         h = np.bincount(rows - rows.min())
-        return float((np.diff(h.astype(float)) ** 2).sum())
+        return float((np.diff(np.concatenate([[0.0], h, [0.0]])) ** 2).sum())
 
     base = sharp(0.0) or 1.0
     angles = np.arange(-limit, limit + step / 2, step)

@@ -78,3 +78,4 @@ def test_second_reading_joins_pieces(spark):
 def test_empty_pages(spark):
     w = words(spark, [("a", 0, 1, 0, 0)]).limit(0)
     assert lay.lines(w).count() == lay.segments(w).count() == lay.slots(w).count() == lay.flow_paragraphs(lay.lines(w)).count() == 0
+
