@@ -327,6 +327,34 @@ def running_headers(blocks: DataFrame, share: float = 0.002, least: int = 3) ->
     )
 
 
+def _ascii_digits(text: Column) -> Column:
+    return F.translate(text, "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789")
+
+
+def counted_pages(blocks: DataFrame, rare: float = 0.004) -> DataFrame:
+    """Blocks with their page's own number in running text. A document's numbered pages give the distance
+    of page number and page; a number at that distance, standing alone between words that numbers
+    seldom stand between (under `rare` of all), is the page's. `blocks`: those of pages read by OCR."""
+    text = _ascii_digits(F.col("text"))
+    n = F.regexp_extract(text, r"(\d{1,4})", 1).try_cast("int")
+    alone = blocks.where(F.col("text").rlike(_PAGE_ALONE)).select("doc_id", (n - F.col("page")).alias("away")).where("away is not null")
+    votes = alone.groupBy("doc_id", "away").agg(F.count("*").alias("n"))
+    distance = votes.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("away")).alias("k")))["k"].alias("k"))
+    flow = blocks.where((F.col("kind").isNull() | ~F.col("kind").isin("page_number", "footer")) & ~F.col("text").contains("\ufffd"))
+    around = r"(\S+)\s+\d{1,3}\s+(\S+)"
+    side = lambda i: flow.select(F.explode(F.regexp_extract_all(text, F.lit(around), F.lit(i))).alias("w")).groupBy(F.lower("w").alias("w")).agg(F.count("*").alias("c"))
+    left, right = staged(side(1), "number-left"), staged(side(2), "number-right")
+    total = left.agg(F.sum("c")).first()[0] or 0
+    number = (F.col("page") - F.col("k")).cast("string")
+    pattern = F.concat(F.lit(r"(?:(\S+)\s+)?(?<!\S)"), number, F.lit(r"(?!\S)(?:\s+(\S+))?"))
+    hit = flow.join(distance, "doc_id").withColumn("t", text).where(F.call_function("regexp_like", F.col("t"), pattern))
+    at = lambda i: F.lower(F.call_function("regexp_extract", F.col("t"), pattern, F.lit(i)))
+    hit = hit.select("doc_id", "page", "block_no", at(1).alias("l"), at(2).alias("r"))
+    hit = hit.join(left.select(F.col("w").alias("l"), F.col("c").alias("cl")), "l", "left").join(right.select(F.col("w").alias("r"), F.col("c").alias("cr")), "r", "left")
+    least = max(2.0, rare * total)
+    return hit.where((F.coalesce("cl", F.lit(0)) <= least) & (F.coalesce("cr", F.lit(0)) <= least)).select("doc_id", "page", "block_no", F.lit("page_no").alias("noise"))
+
+
 def edge_lines(blocks: DataFrame, plan: DataFrame, headers: list[str]) -> DataFrame:
     """Blocks that are or contain a running header or a page number and aren't marked so.
     `headers` is bounded by the share in running_headers."""
@@ -345,7 +373,8 @@ def edge_lines(blocks: DataFrame, plan: DataFrame, headers: list[str]) -> DataFr
         has = near | maybe & F.col("text").rlike(rf"(?iu)(?:^|[\s\p{{IsHan}}])(?:{body})(?=$|[\s\p{{IsHan}}])")
     head = b.where((F.col("kind").isNull() | (F.col("kind") != "heading")) & has).select("doc_id", "page", "block_no", F.lit("header").alias("noise"))
     number = b.where(F.col("text").rlike(_PAGE_ALONE) | _inner_page_number(F.col("text"))).select("doc_id", "page", "block_no", F.lit("page_no").alias("noise"))
-    return head.unionByName(number)
+    scanned = blocks.where(F.col("text").isNotNull()).join(pages, ["doc_id", "page"]).select("doc_id", "page", "block_no", "kind", "text")
+    return head.unionByName(number).unionByName(counted_pages(scanned))
 
 
 def scan_noise(words: DataFrame, blocks: DataFrame, plan: DataFrame, lexicon: DataFrame, looks: Lookalikes, garbling: Garbling) -> DataFrame:

@@ -49,13 +49,22 @@ def test_words(spark, setup):
 def test_blocks(spark, setup):
     blocks = [
         (1, 0, 0, "paragraph", "Register of papers · Volume 12"), (3, 0, 0, "paragraph", "Register of papers · Volume 9"), (4, 0, 0, "paragraph", "Register of papers · Volume 7"),
-        (1, 0, 1, "paragraph", "The missing memo-\nrandum of the cost-\nsharing office.\n- 7 -"), (1, 0, 2, "paragraph", "the office Register of papers · Volume 3 registered"), (1, 0, 3, "page_number", "Page 3 of 9"),
+        (1, 0, 1, "paragraph", "The missing memo-\nrandum of the cost-\nsharing office.\n- 7 -"), (1, 0, 2, "paragraph", "the office Register of papers · Volume 5 registered"), (1, 0, 3, "page_number", "Page 3 of 9"),
         (3, 0, 1, "paragraph", "Page 4 of 9"), (3, 0, 2, "heading", "General page"), (4, 0, 1, "paragraph", None), (4, 0, 2, "paragraph", "offlce page"), (2, 0, 1, "paragraph", "Page 5 of 9"),
     ]
     got = {(r[1], r[3], r[4]) for r in find(spark, setup, [(9, 9, 0, "page", None, [0, 0])], blocks)}
     assert got == {(1, 0, "header"), (3, 0, "header"), (4, 0, "header"), (1, 1, "hyphen"), (1, 1, "page_no"), (1, 2, "header"), (3, 1, "page_no"), (4, 2, "misread")}
 
 
+def test_page_numbers_inside_lines(spark, setup):
+    blocks = [(1, p, 9, "page_number", f"- {p + 11} -") for p in range(3)] + [
+        (1, 0, 0, "paragraph", "the missing 11 page registered"), (1, 1, 0, "paragraph", "the office with 12 pages"), (1, 2, 0, "paragraph", "13 the office"), (1, 1, 1, "paragraph", "the office 44 registered"), (2, 0, 0, "paragraph", "the missing 11 page"),
+    ] + [(3, 0, k, "paragraph", f"office with {100 + k} pages of it") for k in range(9)]
+    routes = [(d, p, "OCR") for d in (1, 2, 3) for p in range(3)]
+    got = {(r[1], r[2], r[3]) for r in find(spark, setup, [(9, 9, 0, "page", None, [0, 0])], blocks, routes) if r[4] == "page_no"}
+    assert got == {(1, 0, 0), (1, 2, 0)}  # numbers often follow "with"; 44 is no page of document 1; document 2 has no numbered page
+
+
 def test_empty(spark, setup):
     w, b = spark.createDataFrame([], WORDS), spark.createDataFrame([], BLOCKS)
     p = spark.createDataFrame([], "doc_id long, page int, route string")
