@@ -42,7 +42,7 @@ _EDGE = ".,;:!?()[]{}«»“”„‘’\"'…،؛؟。，：；、—–-·•
 _HAN = re.compile(r"[㐀-鿿]")
 _HAN_RUN = re.compile(r"[㐀-鿿]+")
 _INNER_DIGIT = re.compile(r"[a-zß-ɏʻа-ӿ]\d{1,2}[a-zß-ɏʻа-ӿ]")
-_STRAY_IN = re.compile(r"[^\W\d_][~^*|\\]+|[~^*|\\]+[^\W\d_]")
+_STRAY_IN = re.compile(r"[^\W\d_][~^*|\\]+|[~^*|\\]+[^\W\d_]|[a-zß-ʯа-ӿ]_[a-zß-ʯа-ӿ]")
 _BREAK = re.compile(r"([^\W\d_][^\s]*)([\-–¬‐])[^\S\n]*(\n?)[^\S\n]*(?=([^\W\d_]))")
 _TOKEN = re.compile(r"\S+")
 _ADDRESS = re.compile(r"@|\(at\)|\[at\]|\.\w+\.|://|www\.")
