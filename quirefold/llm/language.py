@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.sentences import sentence_spans
-from quirefold.session import spread
+from quirefold.session import spread, staged
 
 LANGS = ("en", "ru", "kk", "uz", "az", "ar", "fa", "zh")
 _AT = {k: i for i, k in enumerate(LANGS)}
@@ -69,6 +69,21 @@ def _grams(word: str) -> Iterator[str]:
             yield w[i : i + n]
 
 
+class _Ids(dict):
+    """Row numbers of scored words; an unknown word is scored when it is first asked for."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, word: str) -> int:
+        rows = self.model.rows
+        rows.append(self.model.score(word))
+        if len(self) < 1_000_000:  # beyond that, words of one batch are scored again where they recur
+            self[word] = len(rows) - 1
+        return len(rows) - 1
+
+
 class LanguageModel:
     """Log-probabilities of character runs by language, and a cache of word scores (cleared when it
     holds a million words)."""
@@ -88,8 +103,8 @@ class LanguageModel:
         self._reset()
 
     def _reset(self) -> None:
-        self.ids: dict[str, int] = {}
         self.rows: list[tuple[float, ...]] = []
+        self.ids = _Ids(self)
 
     def __getstate__(self):
         return {"by": self.by, "total": self.total, "known": self.known}
@@ -122,30 +137,15 @@ class LanguageModel:
         weight = 1.0 if len(w) > 1 else 0.2
         return tuple(max(-_CLIP, raw[k] - top) * weight if k in raw else _OTHER * weight for k in LANGS)
 
-    def ids_of(self, words: list[str]) -> list[int]:
-        ids = self.ids
-        out = []
-        for w in words:
-            i = ids.get(w)
-            if i is None:
-                if len(ids) > 1_000_000:
-                    i = len(self.rows)
-                    self.rows.append(self.score(w))
-                else:
-                    i = ids[w] = len(self.rows)
-                    self.rows.append(self.score(w))
-            out.append(i)
-        return out
-
     def sums(self, texts: list[str]) -> np.ndarray:
         """Per text, the sum of its words' scores by language."""
         if len(self.ids) > 1_000_000:
             self._reset()
         ids: list[int] = []
-        starts = []
+        starts, row_of = [], self.ids.__getitem__
         for t in texts:
             starts.append(len(ids))
-            ids += self.ids_of(WORD.findall(t))
+            ids += map(row_of, WORD.findall(t))
         out = np.zeros((len(texts), len(LANGS)))
         if ids:
             rows = np.asarray(self.rows)[np.asarray(ids)]
@@ -287,6 +287,7 @@ def word_pages(words: DataFrame, model: LanguageModel, repair: Callable[[str], s
 def page_cases(pages: DataFrame) -> DataFrame:
     """Pages whose words all lack a profile, or whose profiles don't name the page's language. A page
     without readable words takes the language of most pages of its document."""
+    pages = staged(pages, "page-languages")  # read twice below
     codes = F.create_map(*[F.lit(x) for k, v in CODES.items() for x in (k, v)])
     named = F.flatten(F.transform("profiles", lambda p: F.transform(F.split(p, r"\+"), lambda c: F.try_element_at(codes, F.lower(F.trim(c))))))
     doc = pages.where("lang is not null").groupBy("doc_id", "lang").agg(F.count("*").alias("n"))
@@ -300,7 +301,7 @@ def page_cases(pages: DataFrame) -> DataFrame:
 
 def paragraph_cases(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs not in their document's main language, the one of most paragraphs, then of most letters."""
-    known = paragraphs.where("lang is not null")
+    known = staged(paragraphs.where("lang is not null"), "paragraph-languages")  # read twice below
     per = known.groupBy("doc_id", "lang").agg(F.count("*").alias("n"), F.sum("letters").alias("letters"))
     main = per.groupBy("doc_id").agg(F.max(F.struct("n", "letters", "lang"))["lang"].alias("main_lang"))
     return known.join(main, "doc_id").where("lang <> main_lang").select("doc_id", "page", "block_no", "lang", "confidence")

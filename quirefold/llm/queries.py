@@ -95,7 +95,7 @@ SHARES = (0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 0.999)
 
 def _journal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per message and metric, with its groups."""
-    day = F.date_format(F.timestamp_micros(instant_micros(F.col("time"))), "yyyy-MM-dd").alias("day")
+    day = F.date_format(F.to_utc_timestamp(F.timestamp_micros(instant_micros(F.col("time"))), F.current_timezone()), "yyyy-MM-dd").alias("day")
     pair = F.explode(F.array(F.struct(F.lit("seconds").alias("metric"), F.col("seconds").alias("v")), F.struct(F.lit("pages").alias("metric"), F.col("pages").cast("double").alias("v"))))
     return table(spark, sf_dir, "journal").select("outcome", "reason", day, pair.alias("m")).select("m.metric", "outcome", "reason", "day", F.col("m.v").alias("v"))
 
