@@ -129,11 +129,20 @@ def text_f4_collapsed(spark, d):
       SELECT doc_id, page, word_no, {R("levenshtein(a, b) / greatest(1, length(a))")} AS rate FROM p""",
 )
 def text_f8_error_rates(spark, d):
-    """Edits per character between a word and its second reading (ASCII words: the check engine counts bytes)."""
+    """Edits per character between a word and its second reading (ASCII words: the check engine counts bytes;
+    `text_f8_all_error_rates` has every pair)."""
     w = table(spark, d, "words").where(F.col("alternative").isNotNull() & F.col("text").rlike(r"^[\x20-\x7e]+$") & F.col("alternative").rlike(r"^[\x20-\x7e]*$"))
     return w.select(*PAGE, "word_no", g.rounded(tx.error_rate(F.col("text"), F.col("alternative"))).alias("rate"))
 
 
+@query("text_f8_all_error_rates")
+def text_f8_all_error_rates(spark, d):
+    """Edits per character between a word and its second reading, in every script (rows only: the check engine's
+    edit distance counts bytes). A word without text has no rate."""
+    w = table(spark, d, "words").where(F.col("alternative").isNotNull())
+    return w.select(*PAGE, "word_no", g.rounded(tx.error_rate(F.col("text"), F.col("alternative"))).alias("rate"))
+
+
 @query("text_f14_token_core", "SELECT doc_id, page, word_no, regexp_extract(text, '^([^\\p{L}\\p{N}]*)', 1) AS lead, regexp_replace(text, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g') AS core, regexp_replace(text, '[^\\p{Nd}]', '', 'g') AS digits FROM words WHERE text IS NOT NULL")
 def text_f14_token_core(spark, d):
     t = F.col("text")
