@@ -7,8 +7,9 @@ words whose hash differs by one difference, or by two met halfway; an edit dista
 anagrams. Corrections are ranked by listing, differences and frequency. Han characters that no listed
 word holds are paired with the characters that make listed words of their surroundings, and a pair is
 accepted by its share of the character's occurrences. Broken words: a mark at a line end whose halves
-join to a word, unless the compound with its own hyphen is a word. Edge lines: short first or last
-lines that recur over documents with other numbers are running headers; page numbers have a form.
+join to a word, unless the compound with its own hyphen is a word. Edge lines: short first lines that
+recur with other numbers over the documents of their script, or over the pages of one document, are
+running headers; page numbers have a form.
 
 Defined results: only pages whose plan routes them to OCR count; null text has no noise; garbled words
 (problem 3) are no misreadings; equal corrections are ordered by the word itself.
@@ -16,7 +17,6 @@ Defined results: only pages whose plan routes them to OCR count; null text has n
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from quirefold.functions import text as tx
 from quirefold.llm.encoding import Garbling
 from quirefold.llm.lookalike import Lookalikes
 from quirefold.session import spread, staged
@@ -305,9 +306,8 @@ def template(text: Column) -> Column:
     return F.lower(F.regexp_replace(t, r"\s+", " "))
 
 
-def running_headers(blocks: DataFrame, share: float = 0.002, least: int = 3) -> DataFrame:
-    """Templates of the first short line of pages that recur over documents. At least `share` of the
-    documents must show one, so there are never more than pages a document divided by `share`."""
+def first_lines(blocks: DataFrame) -> DataFrame:
+    """doc_id, page, template of the pages that begin with a short line."""
     firsts = blocks.where(
         F.col("text").isNotNull()
         & (F.col("kind").isNull() | ~F.col("kind").isin("heading", "page_number", "footer", "list_item"))
@@ -317,14 +317,28 @@ def running_headers(blocks: DataFrame, share: float = 0.002, least: int = 3) ->
         & F.col("text").rlike(r"\p{L}{3}")
     )
     top = blocks.groupBy("doc_id", "page").agg(F.min("block_no").alias("block_no"))
-    n_docs = blocks.agg(F.count_distinct("doc_id")).first()[0]
-    lines = firsts.join(top, ["doc_id", "page", "block_no"]).select("doc_id", template(F.col("text")).alias("template"))
-    return (
-        lines.groupBy("template")
-        .agg(F.count_distinct("doc_id").alias("docs"))
-        .where(F.col("docs") >= max(least, math.ceil(n_docs * share)))
-        .select("template", "docs")
-    )
+    return firsts.join(top, ["doc_id", "page", "block_no"]).select("doc_id", "page", template(F.col("text")).alias("template"))
+
+
+def _main_script(counts: dict[str, Column]) -> Column:
+    return F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(k).alias("script")) for k, n in counts.items()]))["script"]
+
+
+def running_headers(blocks: DataFrame, share: float = 0.002, least: int = 3) -> DataFrame:
+    """Templates of the first short line of pages that recur over documents. At least `share` of the
+    documents in the template's script must show one, so there are never more than scripts times pages
+    a document divided by `share`."""
+    text = F.left("text", F.lit(200))
+    letters = blocks.where(F.col("text").isNotNull()).groupBy("doc_id").agg(*[F.sum(tx.letters(text, k)).alias(k) for k in tx.SCRIPTS])
+    of_script = letters.groupBy(_main_script({k: F.col(k) for k in tx.SCRIPTS}).alias("script")).agg(F.count("*").alias("n"))
+    docs = first_lines(blocks).groupBy("template").agg(F.count_distinct("doc_id").alias("docs"))
+    docs = docs.where(F.col("docs") >= least).withColumn("script", _main_script({k: tx.letters(F.col("template"), k) for k in tx.SCRIPTS}))
+    return docs.join(F.broadcast(of_script), "script", "left").where(F.col("docs") >= F.coalesce("n", F.lit(0)) * share).select("template", "docs")
+
+
+def repeated_headers(blocks: DataFrame) -> DataFrame:
+    """doc_id, template of the first short lines that recur on pages of one document."""
+    return first_lines(blocks).groupBy("doc_id", "template").agg(F.count_distinct("page").alias("pages")).where("pages >= 2").select("doc_id", "template")
 
 
 def _ascii_digits(text: Column) -> Column:
@@ -355,9 +369,27 @@ def counted_pages(blocks: DataFrame, rare: float = 0.004) -> DataFrame:
     return hit.where((F.coalesce("cl", F.lit(0)) <= least) & (F.coalesce("cr", F.lit(0)) <= least)).select("doc_id", "page", "block_no", F.lit("page_no").alias("noise"))
 
 
-def edge_lines(blocks: DataFrame, plan: DataFrame, headers: list[str]) -> DataFrame:
+def _header_pattern(template: Column) -> Column:
+    """The pattern of texts that hold a template."""
+    t = F.regexp_replace(template, r"([^\p{L}\p{M}\p{N}\s])", r"\\$1")
+    for a, b in (("9", r"\d+"), (r"a\-\d+", r"\p{L}\-\d+"), (" ", r"\s+")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return F.concat(F.lit(r"(?iu)(?:^|[\s\p{IsHan}])(?:"), t, F.lit(r")(?=$|[\s\p{IsHan}])"))
+
+
+def own_headers(blocks: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Blocks that are or contain a header of their own document, or are one that another document repeats."""
+    t = template(F.col("text"))
+    h = F.col("template")
+    near = (F.length("text") <= 80) & (F.levenshtein(t, h) * 5 <= F.length(h))
+    own = blocks.join(repeated, "doc_id").where(near | F.call_function("regexp_like", F.col("text"), _header_pattern(h)))
+    same = blocks.where(F.length("text") <= 80).withColumn("template", t).join(repeated.select("template").distinct(), "template", "left_semi")
+    return own.select("doc_id", "page", "block_no").unionByName(same.select("doc_id", "page", "block_no")).distinct()
+
+
+def edge_lines(blocks: DataFrame, plan: DataFrame, headers: list[str], repeated: DataFrame) -> DataFrame:
     """Blocks that are or contain a running header or a page number and aren't marked so.
-    `headers` is bounded by the share in running_headers."""
+    `headers` is bounded by the share in running_headers; `repeated` has those of single documents."""
     pages = plan.groupBy("doc_id", "page").agg(F.bool_or(F.col("route") == "OCR").alias("ocr")).where("ocr")
     b = blocks.where(F.col("text").isNotNull() & (F.col("kind").isNull() | ~F.col("kind").isin("page_number", "footer"))).join(pages, ["doc_id", "page"])
     b = spread(b.select("doc_id", "page", "block_no", "kind", "text"), "doc_id", "page", "block_no")
@@ -371,7 +403,9 @@ def edge_lines(blocks: DataFrame, plan: DataFrame, headers: list[str]) -> DataFr
         low = F.lower("text")
         maybe = F.exists(F.array(*map(F.lit, pieces)), lambda x: F.contains(low, x))
         has = near | maybe & F.col("text").rlike(rf"(?iu)(?:^|[\s\p{{IsHan}}])(?:{body})(?=$|[\s\p{{IsHan}}])")
-    head = b.where((F.col("kind").isNull() | (F.col("kind") != "heading")) & has).select("doc_id", "page", "block_no", F.lit("header").alias("noise"))
+    text = b.where(F.col("kind").isNull() | (F.col("kind") != "heading"))
+    others = repeated.where(~F.col("template").isin(headers)) if headers else repeated
+    head = text.where(has).select("doc_id", "page", "block_no").unionByName(own_headers(text, others)).distinct().withColumn("noise", F.lit("header"))
     number = b.where(F.col("text").rlike(_PAGE_ALONE) | _inner_page_number(F.col("text"))).select("doc_id", "page", "block_no", F.lit("page_no").alias("noise"))
     scanned = blocks.where(F.col("text").isNotNull()).join(pages, ["doc_id", "page"]).select("doc_id", "page", "block_no", "kind", "text")
     return head.unionByName(number).unionByName(counted_pages(scanned))
@@ -414,5 +448,5 @@ def scan_noise(words: DataFrame, blocks: DataFrame, plan: DataFrame, lexicon: Da
     odd = seen.where("mode in ('odd', 'second')").select(*key)
     misread = plain.unionByName(halves).unionByName(han).unionByName(odd).withColumn("noise", F.lit("misread"))
     headers = [r[0] for r in running_headers(blocks).collect()]
-    edges = edge_lines(blocks, plan, headers).select(F.lit("blocks").alias("src"), "doc_id", "page", F.col("block_no").alias("item_no"), "noise")
+    edges = edge_lines(blocks, plan, headers, staged(repeated_headers(blocks), "own-headers")).select(F.lit("blocks").alias("src"), "doc_id", "page", F.col("block_no").alias("item_no"), "noise")
     return misread.unionByName(hyphen.withColumn("noise", F.lit("hyphen"))).unionByName(edges).distinct()

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.encoding import Garbling
 from quirefold.llm.lookalike import Lookalikes
-from quirefold.llm.scan_noise import letters_hash, scan_noise
+from quirefold.llm.scan_noise import letters_hash, running_headers, scan_noise
 
 WORDS = "doc_id long, page int, word_no int, text string, alternative string, line_id array<int>"
 BLOCKS = "doc_id long, page int, block_no int, kind string, text string"
@@ -56,6 +56,25 @@ def test_blocks(spark, setup):
     assert got == {(1, 0, "header"), (3, 0, "header"), (4, 0, "header"), (1, 1, "hyphen"), (1, 1, "page_no"), (1, 2, "header"), (3, 1, "page_no"), (4, 2, "misread")}
 
 
+def test_header_of_one_document(spark, setup):
+    blocks = [
+        (1, 0, 0, "paragraph", "Lease (copy) of office 12"), (1, 1, 0, "paragraph", "Lease (copy) of office 13"), (1, 2, 0, "paragraph", "the page Lease (copy) of office 14 registered"),
+        (3, 0, 0, "paragraph", "Lease (copy) of office 8"), (3, 0, 1, "paragraph", "the office"), (4, 0, 0, "paragraph", "General office"),
+    ]
+    got = {(r[1], r[2], r[3]) for r in find(spark, setup, [(9, 9, 0, "page", None, [0, 0])], blocks, [(d, p, "OCR") for d in (1, 3, 4) for p in range(3)]) if r[4] == "header"}
+    assert got == {(1, 0, 0), (1, 1, 0), (1, 2, 0), (3, 0, 0)}
+
+
+def test_header_of_a_rare_script(spark):
+    rows = [(d, 0, 0, "paragraph", "the missing memorandum of the office is registered here.") for d in range(2000)]
+    rows += [(5000 + d, 0, 0, "paragraph", "بایگانی مرکزی — نسخه کار") for d in range(3)]
+    rows += [(6000 + d, 0, 0, "paragraph", "received by the clerk") for d in range(3)]
+    blocks = spark.createDataFrame(rows, "doc_id long, page int, block_no int, kind string, text string")
+    # three of 2,006 documents are under the share, three of the three in Arabic script are not
+    assert [r["docs"] for r in running_headers(blocks).collect() if r["template"].startswith("بایگانی")] == [3]
+    assert "received by the clerk" not in {r["template"] for r in running_headers(blocks).collect()}
+
+
 def test_page_numbers_inside_lines(spark, setup):
     blocks = [(1, p, 9, "page_number", f"- {p + 11} -") for p in range(3)] + [
         (1, 0, 0, "paragraph", "the missing 11 page registered"), (1, 1, 0, "paragraph", "the office with 12 pages"), (1, 2, 0, "paragraph", "13 the office"), (1, 1, 1, "paragraph", "the office 44 registered"), (2, 0, 0, "paragraph", "the missing 11 page"),
