@@ -4,8 +4,9 @@ One Aho-Corasick automaton holds every window of a few tokens of every case sent
 text is scanned once. Hits are collected per sentence and place; the place is then compared with the
 sentence token by token, each token weighted by its rarity among the case sentences, so that numbers
 and names decide and shared phrasing does not. A sentence counts from `least` of its weight on. Stock
-sentences - those of several cases, and those that recur in documents without any other sentence of
-their case - are left out.
+sentences are left out: those of several cases, those that recur in texts of several other cases, and
+those with neither number nor name that recur in texts without anything else of their case. Texts are
+counted once, however many documents repeat them.
 
 Defined results: null and empty texts and cases have no leaks; a case without sentences has none;
 repeated cases and documents each count; equal places go to the first.
@@ -13,6 +14,7 @@ repeated cases and documents each count; equal places go to the first.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -31,6 +33,8 @@ _HAN = re.compile(r"([㐀-鿿])")
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _DROPPED = re.compile(f"[{_INVISIBLE}]+")
 _PLACE = re.compile(rf"[㐀-鿿]|(?:[^\W_㐀-鿿][{_INVISIBLE}]*)+")
+# A capitalised word behind a small one: a name of the case.
+_NAME = re.compile(r"(?<=[^\W\d_A-ZÀ-ÞЀ-Я])[,;]?\s+[A-ZÀ-ÞĞİŞƏЀ-ЯӘҒҚҢӨҰҮҺ][^\W\d_]+")
 # Digits that scans put for letters.
 _AS_LETTER = str.maketrans("0135", "oles")
 
@@ -61,6 +65,7 @@ class CaseIndex:
 
     def __init__(self, cases: list[tuple[int, str]]):
         self.sentences: list[tuple[int, list[str]]] = []
+        named: set[tuple[int, str]] = set()
         owners: dict[str, set[int]] = defaultdict(set)
         rows = []
         for case, text in cases:
@@ -69,6 +74,8 @@ class CaseIndex:
                 if len(toks) >= 4:
                     owners[" ".join(toks)].add(case)
                     rows.append((case, toks))
+                    if _NAME.search(text, a, b):
+                        named.add((case, " ".join(toks)))
         self.stock = {k for k, v in owners.items() if len(v) > 1}
         self.plain: list[bool] = []
         seen = set()
@@ -77,7 +84,7 @@ class CaseIndex:
             if key not in self.stock and (case, key) not in seen:
                 seen.add((case, key))
                 self.sentences.append((case, toks))
-        self.plain = [not any(t.isdigit() for t in toks) for _, toks in self.sentences]
+        self.plain = [not any(c.isdigit() for t in toks for c in t) and (case, " ".join(toks)) not in named for case, toks in self.sentences]
         df = Counter(t for _, toks in self.sentences for t in set(toks))
         n = len(self.sentences)
         self.weight = {t: math.log((n + 1) / c) for t, c in df.items()}
@@ -198,8 +205,10 @@ def index_cases(cases: DataFrame, bound: int = 100_000) -> CaseIndex:
 
 def leaked_sentences(docs: DataFrame, index: CaseIndex, least: float = LEAST) -> DataFrame:
     """doc_id, case_id, sentence_no, score, start_pos, end_pos of the case sentences that documents
-    hold, without stock sentences: a sentence of several cases, or one that recurs in documents of
-    which under a fifth hold another sentence of its case."""
+    hold, without stock sentences. A text is related to a case by another sentence of it; a sentence with
+    a number or name relates its text to the case by itself. Stock is a sentence of several cases; one
+    that texts of three other cases hold (texts with sentences of those) and more of them than related
+    texts; and one with neither number nor name of whose texts under a fifth are related. Equal texts count once."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,16 +217,26 @@ def leaked_sentences(docs: DataFrame, index: CaseIndex, least: float = LEAST) ->
             rows = []
             for k, t in zip(pdf["doc_id"].tolist(), pdf["text"].tolist()):
                 found = leaks_in(ix, t, least)
+                if not found:
+                    continue
+                digest = hashlib.md5(normalise(t).encode("utf-8", "surrogatepass")).hexdigest()
                 per = Counter(ix.sentences[s][0] for s, *_ in found)
-                rows += [(k, ix.sentences[s][0], s, sc, a, b, per[ix.sentences[s][0]] > 1, ix.plain[s]) for s, sc, a, b in found]
-            yield pd.DataFrame(rows, columns=["doc_id", "case_id", "sentence_no", "score", "start_pos", "end_pos", "company", "plain"])
+                marked = Counter(ix.sentences[s][0] for s, *_ in found if not ix.plain[s])
+                for s, sc, a, b in found:
+                    case = ix.sentences[s][0]
+                    other = min((c for c, n in marked.items() if c != case and n > 1), default=None) if per[case] == 1 else None
+                    rows.append((k, case, s, sc, a, b, per[case] > 1, ix.plain[s], digest, other))
+            yield pd.DataFrame(rows, columns=["doc_id", "case_id", "sentence_no", "score", "start_pos", "end_pos", "company", "plain", "digest", "other"]).astype({"other": "Int64"})
 
     found = staged(
         spread(docs.where(F.length("text") > 0).select("doc_id", "text"), "doc_id").mapInPandas(
-            scan, "doc_id bigint, case_id bigint, sentence_no int, score double, start_pos int, end_pos int, company boolean, plain boolean"
+            scan, "doc_id bigint, case_id bigint, sentence_no int, score double, start_pos int, end_pos int, company boolean, plain boolean, digest string, other bigint"
         ),
         "leaks",
     )
-    seen = found.groupBy("sentence_no").agg(F.count("*").alias("n"), F.count_if("company").alias("m"), F.bool_or("plain").alias("plain"))
-    stock = seen.where("(n >= 3 and m < 0.2 * n) or (plain and m = 0)").select("sentence_no")
-    return found.join(stock, "sentence_no", "left_anti").drop("company", "plain")
+    texts = found.select("sentence_no", "digest", "company", "plain", "other").distinct()
+    seen = texts.groupBy("sentence_no").agg(
+        F.count("*").alias("n"), F.count_if("company").alias("m"), F.bool_or("plain").alias("plain"), F.count("other").alias("apart"), F.count_distinct("other").alias("others")
+    )
+    stock = seen.where("(plain and m < 0.2 * n) or (others >= 3 and apart > m)").select("sentence_no")
+    return found.join(stock, "sentence_no", "left_anti").drop("company", "plain", "digest", "other")

@@ -131,3 +131,20 @@ def test_frame_and_stock(spark, index):
     assert got == [(1, 10), (1, 10)]
     assert lk.leaked_sentences(docs.limit(0), ix).count() == 0
     assert lk.leaked_sentences(docs, lk.CaseIndex([])).count() == 0
+
+
+def test_copies_and_lone_leaks_are_no_stock(spark):
+    names = ["Ashmere", "Stowick", "Velmore", "Kelford", "Fenstead", "Harton"]
+    one = lambda n, k: f"In {n} the keeper pressed {k} brass keys into crate {k * 7} before the {k + 3} lanterns of {n} were counted."
+    two = lambda n, k: f"Later {k * 11} torn ledgers from {n} smelled of turpentine beside cabinet {k * 13} near the pier."
+    named = "The night watchman Velridge refused the artificial daylight in the reading room."
+    stock = "The fee is due within thirty days and 14 hours of the receipt of this notice."
+    cases = [(i + 1, one(n, 100 + 31 * i) + " " + two(n, 500 + 37 * i)) for i, n in enumerate(names)] + [(50, named), (60, stock)]
+    ix = lk.CaseIndex(cases)
+    first, both = one("Ashmere", 100), cases[0][1]
+    rows = [(i, "A letter. " + first) for i in range(40)] + [(100, both), (101, "Quite another paper. " + first), (102, "A report: " + first)]
+    rows += [(200 + i, f"Paper {i}. " + named) for i in range(2)] + [(300 + i, cases[i][1] + " " + stock) for i in range(1, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["case_id"], r["doc_id"]) for r in lk.leaked_sentences(docs, ix).collect()}
+    want = {(1, i) for i in [*range(40), 100, 101, 102]} | {(50, 200), (50, 201)} | {(i + 1, 300 + i) for i in range(1, 5)}
+    assert got == want
