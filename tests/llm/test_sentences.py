@@ -52,3 +52,28 @@ def test_frame_with_odd_rows(spark):
     got = sorted((r["doc_id"] or 0, r["start_pos"], r["end_pos"]) for r in sentences(df).collect())
     assert got == [(0, 0, 6), (1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
     assert sentences(df.limit(0)).count() == 0
+
+
+def test_long_quotation_is_one_sentence():
+    t = "He said: “" + " ".join(f"Return copy {i} now." for i in range(60)) + "” That was all."
+    assert [len(x) for x in split(t)] == [t.index("”") + 1, len("That was all.")]
+
+
+@given(st.lists(st.sampled_from(["Dr. ", "etc. ", "1.5 ", "A. ", "word ", "Then ", "so. ", "so! ", "“", "” ", "(", ") ", "The end. ", "x" * 300 + " ", "г. "]), max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_dropping_starts_changes_nothing(parts):
+    from quirefold.llm import sentences as m
+
+    def keep_all(ends, back, active, end, gain):
+        best, node = max(((s + m._length(end - p), -i) for p, s, i in active))
+        ends.append(end)
+        back.append(-node)
+        active.append((end, best + gain, len(ends) - 1))
+
+    text, fast = "".join(parts), m._step
+    got = sentence_spans(text)
+    try:
+        m._step = keep_all
+        assert sentence_spans(text) == got
+    finally:
+        m._step = fast
