@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quirefold.llm.language import SCRIPT_LANGS, script_of
+from quirefold.llm.wordlist import BOUND, list_rows
 from quirefold.session import staged
 
 # Fixed values: (read as, written as) pairs of the encodings that the languages are met in.
@@ -229,10 +230,9 @@ def _name(chain: Chain) -> str:
     return ">".join(f"{'cp1252' if a in ('latin-1', 'cp1254') else a}:{b}" for a, b in chain)
 
 
-def fit_garbling(lexicon: DataFrame, bound: int = 200_000) -> Garbling:
-    """Character models of at most `bound` distinct rows of the word list, in hash order."""
-    rows = lexicon.where(F.col("word").isNotNull()).select("lang", "word").distinct().orderBy(F.xxhash64("lang", "word")).limit(bound).collect()
-    return Garbling(sorted((r[0] or "", r[1]) for r in rows))
+def fit_garbling(lexicon: DataFrame, bound: int = BOUND) -> Garbling:
+    """Character models of the whole word list; more than `bound` rows are an error."""
+    return Garbling(list_rows(lexicon, bound))
 
 
 def garbled_words(words: DataFrame, model: Garbling, keys: tuple[str, ...] = ("doc_id", "page", "word_no"), page: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:

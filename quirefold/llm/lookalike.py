@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from quirefold.llm.encoding import Garbling
 from quirefold.llm.language import script_of
+from quirefold.llm.wordlist import BOUND, list_rows
 
 # Letters that look alike, one class per string; upper and lower case apart.
 LOOKALIKES = (
@@ -172,10 +173,9 @@ class Lookalikes:
         return " ".join(self.token(p) for p in t.split(" ")) if " " in t else self.token(t)
 
 
-def fit_lookalikes(lexicon: DataFrame, bound: int = 200_000) -> Lookalikes:
-    """Tries of at most `bound` distinct rows of the word list, in hash order."""
-    rows = lexicon.where(F.col("word").isNotNull()).select("lang", "word").distinct().orderBy(F.xxhash64("lang", "word")).limit(bound).collect()
-    return Lookalikes(sorted((r[0] or "", r[1]) for r in rows))
+def fit_lookalikes(lexicon: DataFrame, bound: int = BOUND) -> Lookalikes:
+    """Tries of the whole word list; more than `bound` rows are an error."""
+    return Lookalikes(list_rows(lexicon, bound))
 
 
 def _is_case(model: Lookalikes, garbling: Garbling) -> Callable[[str], bool]:

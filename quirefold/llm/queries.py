@@ -12,7 +12,7 @@ from quirefold.llm.lookalike import fit_lookalikes, inconsistent
 from quirefold.llm.packing import containers, token_counts
 from quirefold.llm.personal import masked, personal_items, texts_of
 from quirefold.llm.quantiles import merged, percentiles, sketches
-from quirefold.llm.scan_noise import scan_noise
+from quirefold.llm.scan_noise import repaired, scan_noise
 from quirefold.llm.sentences import sentences
 from quirefold.operators.once import instant_micros
 from quirefold.session import staged, table
@@ -36,6 +36,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of pages read by OCR, as read and as continuous readable text."""
+    lexicon = table(spark, sf_dir, "lexicon")
+    return repaired(table(spark, sf_dir, "words"), table(spark, sf_dir, "blocks"), table(spark, sf_dir, "page_plan"), lexicon, fit_lookalikes(lexicon), fit_garbling(lexicon))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit_garbling(table(spark, sf_dir, "lexicon"))
     words = table(spark, sf_dir, "words").select("doc_id", "page", "word_no", "text")
@@ -179,6 +185,7 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_masked": p1_masked,
     "p2_found": p2_found,
+    "p2_repaired": p2_repaired,
     "p3_found": p3_found,
     "p3_restored": p3_restored,
     "p4_found": p4_found,

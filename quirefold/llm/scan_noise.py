@@ -8,8 +8,11 @@ anagrams. Corrections are ranked by listing, differences and frequency. Han char
 word holds are paired with the characters that make listed words of their surroundings, and a pair is
 accepted by its share of the character's occurrences. Broken words: a mark at a line end whose halves
 join to a word, unless the compound with its own hyphen is a word. Edge lines: short first lines that
-recur with other numbers over the documents of their script, or over the pages of one document, are
-running headers; page numbers have a form.
+recur over documents and hardly ever stand elsewhere on a page, or that recur over the pages of one
+document, are running headers; page numbers have a form. Headers meet the blocks in joins, never on the driver.
+
+Repair: every finding of a block is an edit of a stretch of its text; the edits of a block are
+applied together and what is left of a paragraph is set on one line (`repaired`).
 
 Defined results: only pages whose plan routes them to OCR count; null text has no noise; garbled words
 (problem 3) are no misreadings; equal corrections are ordered by the word itself.
@@ -20,15 +23,16 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from quirefold.functions import text as tx
 from quirefold.llm.encoding import Garbling
 from quirefold.llm.lookalike import Lookalikes
+from quirefold.llm.wordlist import list_rows
 from quirefold.session import spread, staged
 
 # What is printed and what is read for it.
@@ -67,6 +71,14 @@ _PAGE_INSIDE = (
 )
 
 
+_ALONE = re.compile(_PAGE_ALONE)
+# A page number at the end of a paragraph or between its words.
+_PAGES_IN = re.compile(
+    r"((?:^|\s))(?:[Pp]ag[ec] \d{1,4} of \d{1,4}|[Сс]тр\. \d{1,4} из \d{1,4}|[-–] \d{1,4} [-–]|第\d{1,4}页(?:共\d{1,4}页)?)(?=\s|$)"
+    r"|([.!?。»”])\s+(?:p\. \d{1,4}|с\. \d{1,4}|-\d{1,4}-|\d{1,4} бет|\d{1,4} bet|\d{1,4} səh\.|صفحة \d{1,4}|صفحه \d{1,4}|第\d{1,4}页|[0-9٠-٩۰-۹]{1,3})\s*$"
+)
+
+
 def _pairs() -> list[tuple[str, str]]:
     out = []
     for p in CONFUSIONS.replace("е с||", "е с\u0001|").split("|"):
@@ -121,12 +133,12 @@ class Reader:
             return False
         return bool(_STRAY_IN.search(token) or _INNER_DIGIT.search(token))
 
-    def han(self, run: str) -> Iterator[tuple[str, str | None]]:
-        """(character, character that makes a listed word of its surroundings) for unlisted ones."""
+    def han(self, run: str) -> Iterator[tuple[str, str | None, int]]:
+        """(character, character that makes a listed word of its surroundings, place) for unlisted ones."""
         for i, ch in enumerate(run):
             if ch in self.han_known:
                 continue
-            yield ch, None
+            yield ch, None, i
             seen = set()
             for n in (2, 3, 4):
                 for k in range(max(0, i - n + 1), min(i, len(run) - n) + 1):
@@ -134,83 +146,79 @@ class Reader:
                     for r in self.masks.get((piece[: i - k] + "?" + piece[i - k + 1 :], i - k, n), ()):
                         if r not in seen:
                             seen.add(r)
-                            yield ch, r
+                            yield ch, r, i
 
 
-_SCHEMA = "src string, doc_id bigint, page int, item_no int, ocr boolean, mode string, core string, whole string, half int, other_no int"
+_SCHEMA = "src string, doc_id bigint, page int, item_no int, mode string, core string, whole string, half int, other_no int, a int, b int"
 
 
 def _rows_of_words(r: Reader, pdf: pd.DataFrame) -> Iterator[tuple]:
-    for d, p, no, t, nt, broken, ocr, alt, before in pdf[
-        ["doc_id", "page", "word_no", "text", "next_text", "line_break", "ocr", "alternative", "text_before"]
-    ].itertuples(index=False):
-        if ocr and broken and len(t) > 1 and t[-1] in HYPHEN_MARKS and t[-2].isalpha() and nt and nt[0].isalpha():
+    for d, p, no, t, nt, broken, alt, before in pdf[["doc_id", "page", "word_no", "text", "next_text", "line_break", "alternative", "text_before"]].itertuples(index=False):
+        row = lambda mode, core, whole=None, half=None, other=None: ("words", d, p, no, mode, core, whole, half, other, None, None)
+        if broken and len(t) > 1 and t[-1] in HYPHEN_MARKS and t[-2].isalpha() and nt and nt[0].isalpha():
             a, b = r.core(t[:-1]), r.core(nt)
             if a and b:
-                yield "words", d, p, no, True, "join" if t[-1] == "-" else "mark", a + b, f"{a}-{b}", len(a), no + 1
+                yield row("join" if t[-1] == "-" else "mark", a + b, f"{a}-{b}", len(a), no + 1)
                 if r.odd(t[:-1]):
-                    yield "words", d, p, no, True, "odd", a, None, None, None
+                    yield row("odd", a)
                 continue
         c = r.core(t)
         if not c:
             continue
-        if ocr and before and len(before) > 1 and before[-1] in HYPHEN_MARKS and before[-2].isalpha() and c[0].isalpha():
+        if before and len(before) > 1 and before[-1] in HYPHEN_MARKS and before[-2].isalpha() and c[0].isalpha():
             if r.odd(t):
-                yield "words", d, p, no, True, "odd", c, None, None, None
+                yield row("odd", c)
             continue  # the second half of a broken word is judged with the first
-        if ocr and _HAN.search(c):
+        if _HAN.search(c):
             for run in _HAN_RUN.findall(c):
-                for ch, x in r.han(run):
-                    yield "words", d, p, no, True, "han" if x is None else "han_pair", ch, x, None, None
-        yield "words", d, p, no, ocr, "word", c, None, None, None
-        if ocr and r.odd(t):
-            yield "words", d, p, no, True, "odd", c, None, None, None
-        if ocr and alt and alt != t and not r.known(c):
+                for ch, x, _ in r.han(run):
+                    yield row("han" if x is None else "han_pair", ch, x)
+        yield row("word", c)
+        if r.odd(t):
+            yield row("odd", c)
+        if alt and alt != t and not r.known(c):
             k = r.core(alt)
             if k and k != c and r.known(k) and abs(len(k) - len(c)) < 3:
-                yield "words", d, p, no, True, "second", c, k, None, None
+                yield row("second", c, k)
 
 
 def _rows_of_blocks(r: Reader, pdf: pd.DataFrame) -> Iterator[tuple]:
-    for d, p, no, t, ocr in pdf[["doc_id", "page", "block_no", "text", "ocr"]].itertuples(index=False):
+    for d, p, no, t in pdf[["doc_id", "page", "block_no", "text"]].itertuples(index=False):
+        row = lambda mode, core, a, b, whole=None, half=None: ("blocks", d, p, no, mode, core, whole, half, None, a, b)
         gone: list[tuple[int, int]] = []
-        if ocr:
-            for m in _BREAK.finditer(t):
-                b = re.compile(r"[^\s]+").match(t, m.end())
-                if b is None:
-                    continue
-                left, right = r.core(m[1]), r.core(b[0])
-                if not left or not right:
-                    continue
-                between = t[m.start(2) + 1 : m.end()]
-                mode = "mark" if m[2] in "¬–" and (between or r.known(left + right)) else "join" if between else "inner"
-                if mode == "inner" and r.known(f"{left}-{right}"):
-                    continue
-                if mode == "inner" and "-" in left:
-                    continue
-                yield "blocks", d, p, no, True, mode, left + right, f"{left}-{right}", len(left), None
-                gone.append((m.start(), b.end()))
+        for m in _BREAK.finditer(t):
+            b = _TOKEN.match(t, m.end())
+            if b is None:
+                continue
+            left, right = r.core(m[1]), r.core(b[0])
+            if not left or not right:
+                continue
+            between = t[m.start(2) + 1 : m.end()]
+            mode = "mark" if m[2] in "¬–" and (between or r.known(left + right)) else "join" if between else "inner"
+            if mode == "inner" and (r.known(f"{left}-{right}") or "-" in left):
+                continue
+            yield row(mode, left + right, m.start(), b.end(), f"{left}-{right}", len(left))
+            gone.append((m.start(), b.end()))
         k = 0
         for m in _TOKEN.finditer(t):
             while k < len(gone) and gone[k][1] <= m.start():
                 k += 1
             if k < len(gone) and gone[k][0] < m.end():
-                if ocr and r.odd(m[0]):
-                    yield "blocks", d, p, no, True, "odd", m[0], None, None, None
+                if r.odd(m[0]):
+                    yield row("odd", m[0], *m.span())
                 continue
-            tok = m[0]
-            c = r.core(tok)
+            c = r.core(m[0])
             if not c:
                 continue
             if _HAN.search(c):
-                if ocr:
-                    for run in _HAN_RUN.findall(c):
-                        for ch, x in r.han(run):
-                            yield "blocks", d, p, no, True, "han" if x is None else "han_pair", ch, x, None, None
+                for run in _HAN_RUN.finditer(m[0]):
+                    for ch, x, i in r.han(run[0]):
+                        at = m.start() + run.start() + i
+                        yield row("han" if x is None else "han_pair", ch, at, at + 1, x)
                 continue
-            yield "blocks", d, p, no, ocr, "word", c, None, None, None
-            if ocr and r.odd(tok):
-                yield "blocks", d, p, no, True, "odd", c, None, None, None
+            yield row("word", c, *m.span())
+            if r.odd(m[0]):
+                yield row("odd", c, *m.span())
 
 
 def _mapper(shared, rows_of):
@@ -220,42 +228,55 @@ def _mapper(shared, rows_of):
         reader = Reader(*shared.value)
         for pdf in batches:
             out = pd.DataFrame(list(rows_of(reader, pdf)), columns=cols)
-            yield out.astype({"half": "Int32", "other_no": "Int32"})
+            yield out.astype({"half": "Int32", "other_no": "Int32", "a": "Int32", "b": "Int32"})
+
+    return run
+
+
+def _cores(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = Reader(*shared.value)
+        for pdf in batches:
+            c = [reader.core(t) for t in pdf["text"].tolist()]
+            keep = [i for i, x in enumerate(c) if x and not (pdf["block"].iat[i] and _HAN.search(x))]
+            yield pd.DataFrame({"core": [c[i] for i in keep], "n": pdf["n"].iloc[keep].tolist()})
 
     return run
 
 
-def scan_tokens(words: DataFrame, blocks: DataFrame, plan: DataFrame, looks: Lookalikes, garbling: Garbling, lexicon: list[str]) -> DataFrame:
-    """Every token of words and block texts, with the candidates of breaks and odd characters."""
+def _ocr_pages(plan: DataFrame) -> DataFrame:
+    return plan.groupBy("doc_id", "page").agg(F.bool_or(F.col("route") == "OCR").alias("ocr")).where("ocr").select("doc_id", "page")
+
+
+def scan_tokens(words: DataFrame, blocks: DataFrame, plan: DataFrame, looks: Lookalikes, garbling: Garbling, lexicon: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Every token of the words and block texts of pages read by OCR, with the candidates of breaks and odd
+    characters; and the counts of the tokens of all other pages (core, n), whose spellings are only read once each."""
     shared = words.sparkSession.sparkContext.broadcast((looks, garbling, lexicon))
-    pages = plan.groupBy("doc_id", "page").agg(F.bool_or(F.col("route") == "OCR").alias("ocr"))
-    ocr = F.coalesce("ocr", F.lit(False))
+    pages = _ocr_pages(plan)
     at = Window.partitionBy("doc_id", "page").orderBy("word_no")
+    words, blocks = words.where(F.col("text").isNotNull()), blocks.where(F.col("text").isNotNull())
     w = (
-        words.where(F.col("text").isNotNull())
+        words.join(pages, ["doc_id", "page"])
         .select("doc_id", "page", "word_no", "text", "alternative", "line_id")
-        .join(pages, ["doc_id", "page"], "left")
         .select(
-            "doc_id", "page", "word_no", "text", "alternative", ocr.alias("ocr"),
-            F.lead("text").over(at).alias("next_text"),
+            "doc_id", "page", "word_no", "text", "alternative", F.lead("text").over(at).alias("next_text"),
             F.when(F.lag("line_id").over(at) != F.col("line_id"), F.lag("text").over(at)).alias("text_before"),
             F.coalesce(F.lead("line_id").over(at) != F.col("line_id"), F.lit(False)).alias("line_break"),
         )
     )
-    b = blocks.where(F.col("text").isNotNull()).select("doc_id", "page", "block_no", "text").join(pages, ["doc_id", "page"], "left").withColumn("ocr", ocr)
-    return staged(
-        w.mapInPandas(_mapper(shared, _rows_of_words), _SCHEMA).unionByName(spread(b, "doc_id", "page", "block_no").mapInPandas(_mapper(shared, _rows_of_blocks), _SCHEMA)), "scan-tokens"
-    )
+    b = blocks.select("doc_id", "page", "block_no", "text").join(pages, ["doc_id", "page"])
+    tokens = w.mapInPandas(_mapper(shared, _rows_of_words), _SCHEMA).unionByName(spread(b, "doc_id", "page", "block_no").mapInPandas(_mapper(shared, _rows_of_blocks), _SCHEMA))
+    plain = words.join(pages, ["doc_id", "page"], "left_anti").select("text", F.lit(False).alias("block"))
+    flow = blocks.join(pages, ["doc_id", "page"], "left_anti").select(F.explode(F.regexp_extract_all("text", F.lit(r"(\S+)"), F.lit(1))).alias("text"), F.lit(True).alias("block"))
+    seen = plain.unionByName(flow).groupBy("text", "block").agg(F.count("*").alias("n"))
+    return staged(tokens, "scan-tokens"), seen.mapInPandas(_cores(shared), "core string, n long").groupBy("core").agg(F.sum("n").alias("n"))
 
 
-def misreadings(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+def misreadings(tokens: DataFrame, native: DataFrame, lexicon: DataFrame) -> DataFrame:
     """core, its correction: rare words joined with confusable frequent or listed ones."""
     spark = tokens.sparkSession
-    count = (
-        tokens.where("mode in ('word', 'join', 'mark', 'inner')")
-        .groupBy("core")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("mode") == "word").alias("n_word"), F.bool_or((F.col("mode") == "word") & ~F.col("ocr")).alias("native"))
-    )
+    scanned = tokens.where("mode in ('word', 'join', 'mark', 'inner')").groupBy("core").agg(F.count("*").alias("n"), F.count_if(F.col("mode") == "word").alias("n_word"), F.lit(False).alias("native"))
+    count = scanned.unionByName(native.select("core", "n", F.col("n").alias("n_word"), F.lit(True).alias("native"))).groupBy("core").agg(F.sum("n").alias("n"), F.sum("n_word").alias("n_word"), F.bool_or("native").alias("native"))
     listed = lexicon.where(F.col("word").isNotNull()).select(F.lower("word").alias("core")).distinct().withColumn("listed", F.lit(True))
     vocab = (
         count.join(listed, "core", "full")
@@ -320,20 +341,12 @@ def first_lines(blocks: DataFrame) -> DataFrame:
     return firsts.join(top, ["doc_id", "page", "block_no"]).select("doc_id", "page", template(F.col("text")).alias("template"))
 
 
-def _main_script(counts: dict[str, Column]) -> Column:
-    return F.array_max(F.array(*[F.struct(n.alias("n"), F.lit(k).alias("script")) for k, n in counts.items()]))["script"]
-
-
-def running_headers(blocks: DataFrame, share: float = 0.002, least: int = 3) -> DataFrame:
-    """Templates of the first short line of pages that recur over documents. At least `share` of the
-    documents in the template's script must show one, so there are never more than scripts times pages
-    a document divided by `share`."""
-    text = F.left("text", F.lit(200))
-    letters = blocks.where(F.col("text").isNotNull()).groupBy("doc_id").agg(*[F.sum(tx.letters(text, k)).alias(k) for k in tx.SCRIPTS])
-    of_script = letters.groupBy(_main_script({k: F.col(k) for k in tx.SCRIPTS}).alias("script")).agg(F.count("*").alias("n"))
-    docs = first_lines(blocks).groupBy("template").agg(F.count_distinct("doc_id").alias("docs"))
-    docs = docs.where(F.col("docs") >= least).withColumn("script", _main_script({k: tx.letters(F.col("template"), k) for k in tx.SCRIPTS}))
-    return docs.join(F.broadcast(of_script), "script", "left").where(F.col("docs") >= F.coalesce("n", F.lit(0)) * share).select("template", "docs")
+def running_headers(blocks: DataFrame, least: int = 3, pure: float = 0.9) -> DataFrame:
+    """Templates of the first short line of pages that recur in at least `least` documents, and of whose
+    standing as a block of their own at least `pure` is at the head of a page. Both hold at every size."""
+    heads = first_lines(blocks).groupBy("template").agg(F.count_distinct("doc_id").alias("docs"), F.count("*").alias("heads")).where(F.col("docs") >= least)
+    whole = blocks.where(F.length("text") <= 60).groupBy(template(F.col("text")).alias("template")).agg(F.count("*").alias("total"))
+    return heads.join(whole, "template").where(F.col("heads") >= F.col("total") * pure).select("template", "docs")
 
 
 def repeated_headers(blocks: DataFrame) -> DataFrame:
@@ -377,50 +390,83 @@ def _header_pattern(template: Column) -> Column:
     return F.concat(F.lit(r"(?iu)(?:^|[\s\p{IsHan}])(?:"), t, F.lit(r")(?=$|[\s\p{IsHan}])"))
 
 
+_HAN_GRAM = 4
+
+
+def _keys_of(text: Column) -> Column:
+    """The join keys of a text: its words of three letters and more, and its grams of Han characters."""
+    low = F.lower(text)
+    words = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{M}&&[^\p{IsHan}]]{3,})"), F.lit(1))
+    han = F.regexp_replace(low, r"[^\p{IsHan}]+", " ")
+    grams = F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(han) - _HAN_GRAM + 1)), lambda i: F.substring(han, i, F.lit(_HAN_GRAM))), lambda g: g.rlike(rf"^\p{{IsHan}}{{{_HAN_GRAM}}}$"))
+    return F.array_distinct(F.when(low.rlike(r"\p{IsHan}"), F.concat(words, grams)).otherwise(words))
+
+
+def header_places(blocks: DataFrame, headers: DataFrame) -> DataFrame:
+    """doc_id, page, block_no, template, whole: the blocks that are a header (with up to a fifth of its
+    characters misread) or contain one. The whole lines meet by template or by any word; texts that contain a header hold its longest word."""
+    h = F.col("template")
+    short = blocks.where(F.length("text") <= 80).withColumn("own", template(F.col("text")))
+    keyed = headers.withColumn("keys", _keys_of(h))
+    met = short.select("doc_id", "page", "block_no", "own", F.explode(_keys_of(F.col("own"))).alias("key")).join(keyed.select("template", F.explode("keys").alias("key")), "key")
+    near = met.where(F.levenshtein("own", h) * 5 <= F.length(h)).select("doc_id", "page", "block_no", "template", F.lit(True).alias("whole"))
+    same = short.join(headers, F.col("own") == h).select("doc_id", "page", "block_no", "template", F.lit(True).alias("whole"))
+    longest = F.array_max(F.transform("keys", lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"]
+    anchors = keyed.select("template", longest.alias("key")).where(F.col("key").isNotNull()).withColumn("pattern", _header_pattern(h))
+    held = blocks.select("doc_id", "page", "block_no", "text", F.explode(_keys_of(F.col("text"))).alias("key")).join(anchors, "key")
+    inside = held.where(F.call_function("regexp_like", F.col("text"), F.col("pattern"))).select("doc_id", "page", "block_no", "template", F.lit(False).alias("whole"))
+    return same.unionByName(near).unionByName(inside).groupBy("doc_id", "page", "block_no", "template").agg(F.bool_or("whole").alias("whole"))
+
+
+def header_regex(template: str) -> str:
+    """The pattern of _header_pattern for one template, in Python."""
+    t = re.escape(template).replace("9", r"\d+").replace(r"a\-\d+", r"[^\W\d_]\-\d+").replace(r"\ ", r"\s+")
+    return rf"(?i)(?:(?<=\s)|(?<=[㐀-鿿])|^){t}(?=$|[\s㐀-鿿])"
+
+
 def own_headers(blocks: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Blocks that are or contain a header of their own document, or are one that another document repeats."""
-    t = template(F.col("text"))
+    """Places of the headers of a block's own document, and blocks that are one that another document repeats."""
     h = F.col("template")
+    t = template(F.col("text"))
     near = (F.length("text") <= 80) & (F.levenshtein(t, h) * 5 <= F.length(h))
-    own = blocks.join(repeated, "doc_id").where(near | F.call_function("regexp_like", F.col("text"), _header_pattern(h)))
-    same = blocks.where(F.length("text") <= 80).withColumn("template", t).join(repeated.select("template").distinct(), "template", "left_semi")
-    return own.select("doc_id", "page", "block_no").unionByName(same.select("doc_id", "page", "block_no")).distinct()
+    own = blocks.join(repeated, "doc_id").withColumn("whole", near).where(F.col("whole") | F.call_function("regexp_like", F.col("text"), _header_pattern(h)))
+    same = blocks.where(F.length("text") <= 80).withColumn("template", t).join(repeated.select("template").distinct(), "template", "left_semi").withColumn("whole", F.lit(True))
+    cols = ["doc_id", "page", "block_no", "template", "whole"]
+    return own.select(*cols).unionByName(same.select(*cols))
 
 
-def edge_lines(blocks: DataFrame, plan: DataFrame, headers: list[str], repeated: DataFrame) -> DataFrame:
-    """Blocks that are or contain a running header or a page number and aren't marked so.
-    `headers` is bounded by the share in running_headers; `repeated` has those of single documents."""
-    pages = plan.groupBy("doc_id", "page").agg(F.bool_or(F.col("route") == "OCR").alias("ocr")).where("ocr")
-    b = blocks.where(F.col("text").isNotNull() & (F.col("kind").isNull() | ~F.col("kind").isin("page_number", "footer"))).join(pages, ["doc_id", "page"])
-    b = spread(b.select("doc_id", "page", "block_no", "kind", "text"), "doc_id", "page", "block_no")
-    t = template(F.col("text"))
-    has = F.lit(False)
-    if headers:
-        body = "|".join(re.escape(h).replace("9", r"\d+").replace(r"a\-\d+", r"\p{L}\-\d+").replace(r"\ ", r"\s+") for h in sorted(headers, key=lambda h: (-len(h), h)))
-        near = (F.length("text") <= 80) & F.exists(F.array(*map(F.lit, headers)), lambda h: F.levenshtein(t, h) * 5 <= F.length(h))
-        # only a text that holds the longest piece of a header without digits is matched with the pattern
-        pieces = sorted({max(re.split(r"[\d\s]+|a-", h), key=len) for h in headers})
-        low = F.lower("text")
-        maybe = F.exists(F.array(*map(F.lit, pieces)), lambda x: F.contains(low, x))
-        has = near | maybe & F.col("text").rlike(rf"(?iu)(?:^|[\s\p{{IsHan}}])(?:{body})(?=$|[\s\p{{IsHan}}])")
-    text = b.where(F.col("kind").isNull() | (F.col("kind") != "heading"))
-    others = repeated.where(~F.col("template").isin(headers)) if headers else repeated
-    head = text.where(has).select("doc_id", "page", "block_no").unionByName(own_headers(text, others)).distinct().withColumn("noise", F.lit("header"))
-    number = b.where(F.col("text").rlike(_PAGE_ALONE) | _inner_page_number(F.col("text"))).select("doc_id", "page", "block_no", F.lit("page_no").alias("noise"))
+def edge_lines(blocks: DataFrame, plan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The blocks that are or contain a running header or a page number and aren't marked so (doc_id, page,
+    block_no, noise), and the places of the headers in them."""
+    pages = _ocr_pages(plan)
     scanned = blocks.where(F.col("text").isNotNull()).join(pages, ["doc_id", "page"]).select("doc_id", "page", "block_no", "kind", "text")
-    return head.unionByName(number).unionByName(counted_pages(scanned))
+    b = staged(scanned, "scan-blocks")
+    flow = b.where(F.col("kind").isNull() | ~F.col("kind").isin("page_number", "footer"))
+    text = flow.where(F.col("kind").isNull() | (F.col("kind") != "heading"))
+    headers, repeated = staged(running_headers(blocks), "headers"), staged(repeated_headers(blocks), "own-headers")
+    places = staged(header_places(text, headers.select("template")).unionByName(own_headers(text, repeated.join(headers, "template", "left_anti"))), "header-places")
+    head = places.select("doc_id", "page", "block_no").distinct().withColumn("noise", F.lit("header"))
+    number = flow.where(F.col("text").rlike(_PAGE_ALONE) | _inner_page_number(F.col("text"))).select("doc_id", "page", "block_no", F.lit("page_no").alias("noise"))
+    return head.unionByName(number).unionByName(counted_pages(b)), places
 
 
-def scan_noise(words: DataFrame, blocks: DataFrame, plan: DataFrame, lexicon: DataFrame, looks: Lookalikes, garbling: Garbling) -> DataFrame:
-    """src, doc_id, page, item_no, noise: one row per item and kind."""
-    listed = [r[0] for r in lexicon.where(F.col("word").isNotNull()).select("word").distinct().orderBy(F.xxhash64("word")).limit(200_000).collect()]
-    tokens = scan_tokens(words, blocks, plan, looks, garbling, listed)
-    fixes = staged(misreadings(tokens, lexicon), "scan-fixes")
+class Scan(NamedTuple):
+    """What was found on scanned pages. edits: src, doc_id, page, item_no, a, b, noise, core, half, other_no, correction
+    (noise line: a compound over a line end, which is no noise); edges: doc_id, page, block_no, noise; places: those of headers."""
+
+    edits: DataFrame
+    edges: DataFrame
+    places: DataFrame
+
+
+def scan_findings(words: DataFrame, blocks: DataFrame, plan: DataFrame, lexicon: DataFrame, looks: Lookalikes, garbling: Garbling) -> Scan:
+    tokens, native = scan_tokens(words, blocks, plan, looks, garbling, sorted({w for _, w in list_rows(lexicon)}))
+    fixes = staged(misreadings(tokens, native, lexicon), "scan-fixes")
     lex = lexicon.where(F.col("word").isNotNull()).select(F.lower("word").alias("core")).distinct()
-    key = ["src", "doc_id", "page", "item_no"]
-    seen = tokens.where("ocr")
-    plain = seen.where("mode = 'word'").join(fixes, "core").select(*key)
-    broken = seen.where("mode in ('join', 'mark', 'inner')").select(*key, "mode", "core", "whole", "half", "other_no")
+    key = ["src", "doc_id", "page", "item_no", "a", "b", "core", "half", "other_no"]
+    row = lambda df, noise, fix: df.select(*key, F.lit(noise).alias("noise"), fix.alias("correction"))
+    plain = row(tokens.where("mode = 'word'").join(fixes, "core"), "misread", F.col("correction"))
+    broken = tokens.where("mode in ('join', 'mark', 'inner')")
     whole = lex.select(F.col("core").alias("whole"), F.lit(True).alias("whole_listed"))
     whole_fix = fixes.select(F.col("core").alias("whole"), F.col("correction").alias("whole_correction"))
     joined = (
@@ -433,20 +479,84 @@ def scan_noise(words: DataFrame, blocks: DataFrame, plan: DataFrame, lexicon: Da
         .withColumn("own", ~F.col("core_listed") & (F.col("whole_listed") | F.col("whole_correction").contains("-") & F.col("correction").isNull()))
     )
     joined = staged(joined, "scan-joined")
-    hyphen = joined.where("(mode = 'join' and not own) or (mode = 'mark' and not whole_listed) or (mode = 'inner' and good and not own)").select(*key)
+    hyphen = row(joined.where("(mode = 'join' and not own) or (mode = 'mark' and not whole_listed) or (mode = 'inner' and good and not own)"), "hyphen", F.coalesce("correction", "core"))
     wrong = joined.where("correction is not null and not own and (mode <> 'inner' or good)")
     first_ok = F.substring("correction", F.lit(1), F.col("half")) == F.substring("core", F.lit(1), F.col("half"))
     rest = F.length("core") - F.col("half")
     last_ok = F.expr("right(correction, length(core) - half)") == F.expr("right(core, length(core) - half)")
-    halves = wrong.where(~first_ok).select(*key).unionByName(
-        wrong.where((~last_ok | first_ok) & F.col("other_no").isNotNull() & (rest > 0)).select("src", "doc_id", "page", F.col("other_no").alias("item_no"))
-    ).unionByName(wrong.where(F.col("other_no").isNull()).select(*key))
-    pairs = seen.where("mode = 'han_pair'").groupBy(F.col("core").alias("ch"), F.col("whole").alias("to")).agg(F.count("*").alias("hits"))
-    totals = seen.where("mode = 'han'").groupBy(F.col("core").alias("ch")).agg(F.count("*").alias("total"))
+    second = wrong.where((~last_ok | first_ok) & F.col("other_no").isNotNull() & (rest > 0)).withColumn("item_no", F.col("other_no"))
+    halves = row(wrong.where(~first_ok), "misread", F.col("correction")).unionByName(row(second, "misread", F.lit(""))).unionByName(row(wrong.where(F.col("other_no").isNull()), "misread", F.col("correction")))
+    pairs = tokens.where("mode = 'han_pair'").groupBy(F.col("core").alias("ch"), F.col("whole").alias("to")).agg(F.count("*").alias("hits"))
+    totals = tokens.where("mode = 'han'").groupBy(F.col("core").alias("ch")).agg(F.count("*").alias("total"))
     taken = pairs.join(totals, "ch").where("hits >= 0.6 * total").select("ch", "to")
-    han = seen.where("mode = 'han_pair'").join(taken, (F.col("core") == F.col("ch")) & (F.col("whole") == F.col("to"))).select(*key)
-    odd = seen.where("mode in ('odd', 'second')").select(*key)
-    misread = plain.unionByName(halves).unionByName(han).unionByName(odd).withColumn("noise", F.lit("misread"))
-    headers = [r[0] for r in running_headers(blocks).collect()]
-    edges = edge_lines(blocks, plan, headers, staged(repeated_headers(blocks), "own-headers")).select(F.lit("blocks").alias("src"), "doc_id", "page", F.col("block_no").alias("item_no"), "noise")
-    return misread.unionByName(hyphen.withColumn("noise", F.lit("hyphen"))).unionByName(edges).distinct()
+    han = row(tokens.where("mode = 'han_pair'").join(taken, (F.col("core") == F.col("ch")) & (F.col("whole") == F.col("to"))), "misread", F.col("whole"))
+    odd = row(tokens.where("mode = 'odd'"), "misread", F.lit(None).cast("string")).unionByName(row(tokens.where("mode = 'second'"), "misread", F.col("whole")))
+    compound = row(joined.where("own and mode = 'join'"), "line", F.coalesce("whole_correction", "whole"))  # its own hyphen stays, the line end goes
+    edges, places = edge_lines(blocks, plan)
+    return Scan(plain.unionByName(halves).unionByName(han).unionByName(odd).unionByName(hyphen).unionByName(compound), edges, places)
+
+
+def scan_noise(words: DataFrame, blocks: DataFrame, plan: DataFrame, lexicon: DataFrame, looks: Lookalikes, garbling: Garbling) -> DataFrame:
+    """src, doc_id, page, item_no, noise: one row per item and kind."""
+    found = scan_findings(words, blocks, plan, lexicon, looks, garbling)
+    edges = found.edges.select(F.lit("blocks").alias("src"), "doc_id", "page", F.col("block_no").alias("item_no"), "noise")
+    return found.edits.where("noise <> 'line'").select("src", "doc_id", "page", "item_no", "noise").unionByName(edges).distinct()
+
+
+def _like(seen: str, word: str) -> str:
+    """A correction in the case of what was read."""
+    letters = [c for c in seen if c.isalpha()]
+    if len(letters) > 1 and sum(c.isupper() for c in letters) * 2 > len(letters):
+        return word.upper()
+    return word[:1].upper() + word[1:] if letters and letters[0].isupper() else word
+
+
+def _mended(text: str, correction: str | None) -> str:
+    """A token with its correction in place of its core, or without stray marks where there is none."""
+    body = text.strip(_EDGE)
+    at = text.find(body)
+    core = _like(body, correction) if correction is not None else re.sub(r"[~^*|\\]", "", body)
+    return text[:at] + core + text[at + len(body) :]
+
+
+def mend(text: str, edits: list[tuple[int, int, str, str | None]], headers: list[str]) -> str:
+    """A paragraph with its edits (start, end, noise, correction) applied, without the lines and
+    stretches that are headers or page numbers, on one line. Overlapping edits: the longest, then the first."""
+    out, at = [], 0
+    kept: list[tuple[int, int, str, str | None]] = []
+    for e in sorted(set(edits), key=lambda e: (e[0] - e[1], e[2] not in ("hyphen", "line"), e[3] is None, e[0], e[3] or "")):
+        if all(e[1] <= k[0] or e[0] >= k[1] for k in kept):
+            kept.append(e)
+    for a, b, noise, fix in sorted(kept):
+        out += [text[at:a], _mended(text[a:b], fix)]
+        at = b
+    t = "".join([*out, text[at:]])
+    for h in headers:
+        t = re.sub(h, " ", t)
+    lines = [x for x in t.split("\n") if not _ALONE.match(x)]
+    return " ".join(_PAGES_IN.sub(lambda m: (m[1] or m[2] or "") + " ", " ".join(lines)).split())
+
+
+def repaired(words: DataFrame, blocks: DataFrame, plan: DataFrame, lexicon: DataFrame, looks: Lookalikes, garbling: Garbling) -> DataFrame:
+    """doc_id, page, block_no, text, repaired: the paragraphs of scanned pages, ranked corrections, joined halves and edge lines applied. Blocks that
+    are nothing but a header or a page number are left out, as are tables and graphics (no text); headings, footers and page numbers marked as such stay."""
+    found = scan_findings(words, blocks, plan, lexicon, looks, garbling)
+    keys = ["doc_id", "page", "block_no"]
+    edits = found.edits.where("src = 'blocks'").withColumnRenamed("item_no", "block_no").groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "noise", "correction")).alias("edits"))  # bounded by a text's length
+    heads = found.places.groupBy(*keys).agg(F.bool_or("whole").alias("gone"), F.collect_set("template").alias("heads"))
+    numbers = found.edges.where("noise = 'page_no'").select(*keys).distinct().withColumn("numbered", F.lit(True))
+    b = blocks.where(F.col("text").isNotNull()).join(_ocr_pages(plan), ["doc_id", "page"]).select(*keys, "kind", "text")
+    b = b.join(edits, keys, "left").join(heads, keys, "left").join(numbers, keys, "left").where(~F.coalesce("gone", F.lit(False)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            new = []
+            for t, e, h, marked in zip(pdf["text"], pdf["edits"], pdf["heads"], pdf["marked"]):
+                edits = [(x["a"], x["b"], x["noise"], x["correction"]) for x in e] if e is not None else []
+                new.append(t if marked and not edits else mend(t, edits, [header_regex(x) for x in h] if h is not None else []))
+            yield pdf[[*keys, "text"]].assign(repaired=pd.Series(new, dtype=object))
+
+    marked = F.coalesce(F.col("kind").isin("page_number", "footer", "heading"), F.lit(False)).alias("marked")
+    schema = ", ".join(f"`{k}` {blocks.schema[k].dataType.simpleString()}" for k in keys)
+    rows = b.where(~(F.coalesce("numbered", F.lit(False)) & F.col("text").rlike(_PAGE_ALONE))).select(*keys, "text", "edits", "heads", marked)
+    return spread(rows, *keys).mapInPandas(run, f"{schema}, text string, repaired string").where(F.length("repaired") > 0)
