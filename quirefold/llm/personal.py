@@ -36,6 +36,7 @@ _L = r"A-Za-z0-9À-ɏЀ-ԯ"
 _INV = "­​‍⁠﻿"
 _BETWEEN = frozenset(" \n\t\r\u00a0,،:：;")
 _DIGIT = re.compile(r"\d")
+_OTHER_DIGIT = re.compile("[٠-٩۰-۹０-９]")
 _ARABIC = re.compile(r"[؀-ۿ]")
 _NO_INV = dict.fromkeys(map(ord, _INV))
 EMAIL = re.compile(
@@ -56,20 +57,43 @@ ID_LONG = re.compile(r"(?<![\w/\-.+])\d{12}(?![\w/\-])")
 _N = r"\d{1,4}(?:-?[A-Za-zА-Яа-я](?![A-Za-zА-Яа-я]))?"
 _UP = r"[A-ZÀ-ÞĞİŞƏЀ-ЯӘҒҚҢӨҰҮҺ]"
 _W = r"[\wʻʼ'’\-]"
-ADDRESS = re.compile(
-    "|".join(
-        f"({form})"
-        for form in (
+# (form, words of which it holds one)
+ADDRESS = tuple(
+    (re.compile(form), words)
+    for form, words in (
+        (
             rf"(?:(?:[Ff]lat|[Aa]pt\.?|[Uu]nit)\s\d{{1,4}},\s)?(?<![\w/.\-])\d{{1,4}}(?:-[A-Z])?\s(?:{_UP}{_W}*\s){{1,3}}(?:Road|Street|Lane|Row|Avenue|Drive|Square|Way|Close|Court|Hill|Place)(?!\w)"
-            rf"(?:,\s(?:flat|apt\.?|unit)\s\d{{1,4}})?(?:,\s{_UP}[a-z]+(?!\s(?:Road|Street|Lane|Row))(?![\w@]))?",
+        rf"(?:,\s(?:flat|apt\.?|unit)\s\d{{1,4}})?(?:,\s{_UP}[a-z]+(?!\s(?:Road|Street|Lane|Row))(?![\w@]))?",
+            ("Road", "Street", "Lane", "Row", "Avenue", "Drive", "Square", "Way", "Close", "Court", "Hill", "Place"),
+        ),
+        (
             rf"(?:г\.\s{_UP}{_W}+,\s)?(?:ул|пр|пер|просп|наб|бул|пл|ш|проезд)\.?\s{_UP}{_W}*(?:\s{_UP}?{_W}+)?,\s(?:(?:д\.|дом)\s{_N}(?:,\s(?:кв\.|квартира)\s\d{{1,4}})?|\d{{1,4}}(?:-\d{{1,4}})?(?!\d))",
+            ("д. ", "дом ", "дом\n", "ул", "пр", "пер", "наб", "бул", "пл", "ш"),
+        ),
+        (
             rf"(?:{_UP}{_W}+\sқ\.,\s)?{_UP}{_W}*(?:\s{_UP}{_W}*)?\s(?:көшесі|даңғылы|тұйығы|бульвары|алаңы),\s\d{{1,4}}(?:-?[а-яА-Я])?-үй(?:,\s\d{{1,4}}-пәтер)?",
+            ("көшесі", "даңғылы", "тұйығы", "бульвары", "алаңы"),
+        ),
+        (
             rf"(?:{_UP}{_W}+\ssh\.,\s)?{_UP}{_W}*(?:\s{_UP}{_W}*)?\s(?:koʻchasi|shoh\s?koʻchasi|xiyoboni|prospekti),\s\d{{1,4}}(?:-?[a-zA-Z])?-uy(?:,\s\d{{1,4}}-xonadon)?",
+            ("koʻchasi", "xiyoboni", "prospekti"),
+        ),
+        (
             rf"(?:{_UP}{_W}+\s(?:ş\.|şəhəri),\s)?{_UP}{_W}*(?:\s{_UP}{_W}*)?\s(?:küçəsi|küç\.|prospekti|pr\.|döngəsi),?\s(?:ev\s)?\d{{1,4}}(?:[-/]?[A-Za-z])?(?:,?\s(?:mənzil|m\.)\s\d{{1,4}})?",
+            ("küç", "prospekti", "pr.", "döngəsi"),
+        ),
+        (
             r"(?:[؀-ۿ]+(?:\s[؀-ۿ]+)?،\s)?شارع\s[؀-ۿ]+(?:\s[؀-ۿ]+)?\sرقم\s\d{1,4}(?:\sشقة\s\d{1,4})?(?:،\s(?:مدينة\s)?[؀-ۿ]+(?:\s[؀-ۿ]+)?)?",
+            ("شارع",),
+        ),
+        (
             r"(?:(?:شهر\s)?[؀-ۿ‌]+،\s)?(?:خیابان|کوچه|بلوار)\s[؀-ۿ‌]+(?:\s[؀-ۿ‌]+)?\sپلاک\s\d{1,4}(?:\sواحد\s\d{1,4})?",
+            ("خیابان", "کوچه", "بلوار"),
+        ),
+        (
             r"(?:[㐀-鿿]{2,3}(?:市|县|镇|区))?[㐀-鿿]{2,3}(?:路|街|巷|大道)\d{1,4}号(?:\d{1,4}[室房])?",
-        )
+            ("号",),
+        ),
     )
 )
 # Loose forms: capitalised words with a house number, runs of digits, anything around an at sign.
@@ -101,6 +125,10 @@ STRICT, BORN, LOOSE, CASED, UNCASED = 0.95, 0.8, 0.03, 0.4, 0.0
 _BLANK = "\u0001"
 
 
+def _plain_digits(text: str) -> str:
+    return text if text.isascii() or not _OTHER_DIGIT.search(text) else text.translate(_DIGITS)
+
+
 def _visible(text: str) -> str:
     return text.translate(_NO_INV)
 
@@ -138,11 +166,11 @@ class Finder:
 
     def items(self, text: str) -> list[Item]:
         """Candidates that are no names, strict forms first, without overlaps."""
-        mail = "@" in text or "(" in text or "[" in text
+        mail = "@" in text or "at)" in (low := text.lower()) or "at]" in low
         digits = _DIGIT.search(text) is not None
         if not (mail or digits):
             return []
-        t = text.translate(_DIGITS)
+        t = _plain_digits(text)
         out: list[Item] = []
 
         def add(a: int, b: int, family: str, node: str, forms: dict[str, float]) -> None:
@@ -155,7 +183,7 @@ class Finder:
             for m in EMAIL.finditer(t):
                 add(*m.span(), "mail", "strict", {"email": STRICT})
         if digits:
-            for m in ADDRESS.finditer(t):
+            for number, m in ((i, m) for i, (form, words) in enumerate(ADDRESS) if any(w in t for w in words) for m in form.finditer(t)):
                 a, b = m.span()
                 if "㐀" <= t[a] <= "鿿":
                     a = self._han_start(t, a, b)
@@ -165,7 +193,7 @@ class Finder:
                     street = re.search("شارع|خیابان|کوچه|بلوار", t[a:b])
                     if street and street.start() and t[a : a + street.start()].strip(" ،").split(" ")[-1] in self.listed:
                         a += street.start()
-                add(a, b, "address", f"form {m.lastindex}", {"address": STRICT})
+                add(a, b, "address", f"form {number}", {"address": STRICT})
             for rule in (ID_STRICT, _ID_HAN, _PHONE_HAN, PHONE, ID_LONG):
                 for m in rule.finditer(t):
                     a, b = m.span()
@@ -330,7 +358,7 @@ _CAND = (
 def _rows(finder: Finder, key: tuple, text: str) -> Iterator[tuple]:
     cell = key[0] == "cells"
     items = finder.items(text)
-    t = text.translate(_DIGITS)
+    t = _plain_digits(text)
     if items:
         hidden = list(t)
         for x in items:
@@ -384,7 +412,7 @@ def _sum_of(at: DataFrame, column: str) -> DataFrame:
     return at.where(F.col(column).isNotNull()).select("pii_type", F.concat(F.lit(f"{column}|"), column).alias("pattern"), "n", "s")
 
 
-def scored(found: DataFrame, rounds: int = 3) -> DataFrame:
+def scored(found: DataFrame, rounds: int = 2) -> DataFrame:
     """The candidates with `instance`, `place` and `score`, a probability made of the two by their odds.
 
     An edge is one combination of type, instance node and patterns with its count. An instance is worth the mean of the
@@ -452,7 +480,7 @@ def scored(found: DataFrame, rounds: int = 3) -> DataFrame:
     return rows.withColumn("score", 1 / (1 + F.exp(-odds)))
 
 
-def personal_items(texts: DataFrame, lexicon: DataFrame, rounds: int = 3, least: float = 0.5) -> DataFrame:
+def personal_items(texts: DataFrame, lexicon: DataFrame, rounds: int = 2, least: float = 0.5) -> DataFrame:
     """One row per item: src, keys, start_pos, end_pos, pii_type."""
     found = staged(candidates(texts, listed_words(lexicon), fit_garbling(lexicon)), "pii")
     return chosen(scored(found, rounds), least)
