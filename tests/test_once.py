@@ -68,7 +68,7 @@ def test_many_identifiers_fill_buckets(spark, tmp_path):
     n = BUCKET_BITS + 500
     df = spark.range(n * 2).select(F.col("id").alias("seq"), F.concat(F.lit("f"), F.col("id") % n).alias("name"), F.lit(0).cast("long").alias("instant"))
     ledger = SeenLedger(spark, f"file://{tmp_path}/ledger", 1)
-    assert repeated(df, ledger, 4).agg(F.min("seq"), F.count("*")).first() == (n, n)
+    assert repeated(df, ledger, 2).agg(F.min("seq"), F.count("*")).first() == (n, n)
     bits = ledger.bitmaps()
     assert bits.agg(F.sum("n_set")).first()[0] == n
     assert bits.where("bits is null").count() == 1  # a full bucket needs no bits
@@ -77,14 +77,38 @@ def test_many_identifiers_fill_buckets(spark, tmp_path):
 def test_replayed_and_interrupted_epochs(spark, tmp_path):
     ledger = SeenLedger(spark, f"file://{tmp_path}/ledger", 2)
     first = arrivals(spark, [(1, "a", "2024-01-01T00:00:00"), (2, "b", "2024-01-01T00:00:00")])
-    ledger._absorb(0, [], first, "seq")  # written, not committed: as if the driver had died
+    ledger.encode(0, first)
+    ledger._accept(0, first, "seq")  # written, not committed: as if the driver had died
     assert ledger.epochs() == []
     assert {r[0] for r in ledger.absorb(0, first).collect()} == {1, 2}
     assert {r[0] for r in ledger.absorb(0, first).collect()} == {1, 2}
     late = arrivals(spark, [(3, "a", "2024-01-01T00:00:00"), (4, "c", "2024-01-01T00:00:00")])
     assert {r[0] for r in ledger.absorb(1, late).collect()} == {4}
     with pytest.raises(RuntimeError):
-        ledger._commit(1)
+        ledger._mark("commits", 1)
+
+
+def test_encoded_but_never_delivered(spark, tmp_path):
+    """The dictionary alone decides nothing: the identifiers of an epoch that was given up are known, but unseen."""
+    ledger = SeenLedger(spark, f"file://{tmp_path}/ledger", 2)
+    lost = arrivals(spark, [(1, "a", "2024-01-01T00:00:00"), (2, "b", "2024-01-01T00:00:00")])
+    ledger.encode(0, lost)
+    again_ = arrivals(spark, [(3, "b", "2024-01-01T00:00:00"), (4, "a", "2024-01-01T00:00:00"), (5, "./a", "2024-01-01T00:00:00")])
+    assert ledger.dictionary().count() == 2
+    assert {r[0] for r in ledger.absorb(1, again_).collect()} == {3, 4}
+    assert ledger.absorb(2, again_.withColumn("seq", F.col("seq") + 10)).count() == 0
+    assert ledger.dictionary().count() == 2
+
+
+def test_compaction_keeps_the_state(spark, tmp_path):
+    ledger = SeenLedger(spark, f"file://{tmp_path}/ledger", 2)
+    rows = [(i, f"f{i % 9}.pdf", "2024-01-01T00:00:00") for i in range(40)]
+    for e in range(3):
+        ledger.absorb(e, arrivals(spark, rows[e * 7 : e * 7 + 7]))
+        ledger.compact()
+    assert ledger.bitmaps().agg(F.sum("n_set")).first()[0] == 9 == ledger.dictionary().count()
+    assert ledger.absorb(3, arrivals(spark, rows[21:])).count() == 0
+    assert {r[0] for r in ledger.absorb(4, arrivals(spark, [(99, "new", None)])).collect()} == {99}
 
 
 def test_extra_columns_survive(spark, tmp_path):
