@@ -125,10 +125,10 @@ def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the true rank of each estimate by outcome is within its stated bound."""
+    """Whether the true rank of each estimate by outcome, from sketches merged over days, is within its stated
+    bound, and whether that bound is under half a percent."""
     values = _journal_values(spark, sf_dir).select("metric", F.coalesce("outcome", F.lit("(none)")).alias("key"), "v").where("v is not null")
-    cells = sketches(values, ["metric", "key"], F.col("v"))
-    found = percentiles(cells, ["metric", "key"], SHARES)
+    found = percentiles(p6_sketches(spark, sf_dir).where("dimension = 'outcome'").drop("dimension"), ["metric", "key"], SHARES)
     each = found.groupBy("metric", "key").agg(F.sort_array(F.collect_list(F.struct("share", "estimate", "rank_bound", "value_bound", "n"))).alias("e"))
     joined = values.join(F.broadcast(each), ["metric", "key"])  # one row per outcome and metric
     below = [F.count_if(F.col("v") < F.col("e")[i]["estimate"] * (1 - F.col("e")[i]["value_bound"])).alias(f"lo{i}") for i in range(len(SHARES))]
@@ -139,6 +139,7 @@ def p6_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit(p).alias("share"),
             F.col("e")[i]["n"].alias("n"),
             ((F.col(f"lo{i}") <= (p + F.col("e")[i]["rank_bound"]) * F.col("e")[i]["n"]) & (F.col(f"hi{i}") >= (p - F.col("e")[i]["rank_bound"]) * F.col("e")[i]["n"])).alias("within_bound"),
+            (F.col("e")[i]["rank_bound"] < 0.005).alias("bound_is_tight"),
         )
         for i, p in enumerate(SHARES)
     ]
@@ -206,6 +207,6 @@ ORACLES = {
         WITH v AS (
           SELECT 'seconds' AS metric, coalesce(outcome, '(none)') AS key, seconds AS v FROM journal
           UNION ALL SELECT 'pages', coalesce(outcome, '(none)'), pages FROM journal)
-        SELECT metric, key, share::DOUBLE AS share, count(v) AS n, true AS within_bound
+        SELECT metric, key, share::DOUBLE AS share, count(v) AS n, true AS within_bound, true AS bound_is_tight
         FROM v, unnest([{", ".join(map(str, SHARES))}]) AS s(share) WHERE v IS NOT NULL GROUP BY metric, key, share""",
 }
