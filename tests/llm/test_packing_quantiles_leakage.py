@@ -148,3 +148,18 @@ def test_copies_and_lone_leaks_are_no_stock(spark):
     got = {(r["case_id"], r["doc_id"]) for r in lk.leaked_sentences(docs, ix).collect()}
     want = {(1, i) for i in [*range(40), 100, 101, 102]} | {(50, 200), (50, 201)} | {(i + 1, 300 + i) for i in range(1, 5)}
     assert got == want
+
+
+def test_every_place_and_short_sentences(spark):
+    short = "Velmore paid twice."
+    ix = lk.CaseIndex([(1, S + " " + short), (2, "Another case of 44 lamps stood unlit beside the Kelford weir.")])
+    text = f"One. {S} Two words. {S} Three. {short}"
+    assert sorted(ix.sentences[s][1][0] for s, *_ in lk.leaks_in(ix, text)) == sorted([lk.tokens_of(S)[0]] * 2 + ["velmore"])
+    assert len({a for _, _, a, _ in lk.leaks_in(ix, text)}) == 3
+
+
+def test_too_many_cases_are_an_error(spark):
+    cases = spark.createDataFrame([(i, f"case {i} text") for i in range(4)], "case_id long, expected_text string")
+    assert len(lk.index_cases(cases, 4).sentences) == 4
+    with pytest.raises(ValueError, match="more than 3 cases"):
+        lk.index_cases(cases, 3)
