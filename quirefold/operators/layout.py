@@ -86,6 +86,25 @@ def margins(line_rows: DataFrame) -> DataFrame:
     )
 
 
+def single_lines(line_rows: DataFrame) -> DataFrame:
+    """Lines with `single`: whether no other line of the page shares half of the lower one's height."""
+    o = line_rows.select(*PAGE, *[F.col(c).alias(f"o_{c}") for c in ("line_key", "y0", "y1")])
+    share = (F.least("y1", "o_y1") - F.greatest("y0", "o_y0") > 0.5 * F.least(F.col("y1") - F.col("y0"), F.col("o_y1") - F.col("o_y0"))) & (F.col("line_key") != F.col("o_line_key"))
+    crowded = line_rows.join(o, PAGE).where(share).select(*PAGE, "line_key").distinct().withColumn("crowded", F.lit(True))
+    return line_rows.join(crowded, [*PAGE, "line_key"], "left").withColumn("single", F.col("crowded").isNull()).drop("crowded")
+
+
+def wide_margins(line_rows: DataFrame) -> DataFrame:
+    """doc_id, page, n_wide, left_margin, right_margin from lines with `single` and the page's `width`."""
+    wide = F.col("single") & (F.col("x1") - F.col("x0") >= 0.45 * F.col("width"))
+    s = line_rows.withColumn("wide", wide).groupBy(*PAGE).agg(
+        F.count_if("wide").alias("n_wide"), F.max("width").alias("width"), F.collect_list(F.when(F.col("wide"), F.col("x0"))).alias("l"), F.collect_list(F.when(F.col("wide"), F.col("x1"))).alias("r"), F.collect_list("x0").alias("all")
+    )  # bounded by a page's lines
+    left = index_quantile(F.when(F.size("l") > 0, F.col("l")).otherwise(F.col("all")), 0.2)
+    right = F.when(F.size("l") > 0, index_quantile(F.col("r"), 0.8)).otherwise(F.col("width") - index_quantile(F.col("all"), 0.2))
+    return s.select(*PAGE, "n_wide", rounded(left).alias("left_margin"), rounded(right).alias("right_margin"))
+
+
 def body_size(blocks: DataFrame, default: float = 12.0) -> DataFrame:
     """The size at which half of the paragraph characters are reached, to half points."""
     order = Window.partitionBy("doc_id").orderBy("size", "page", "block_no")

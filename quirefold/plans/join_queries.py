@@ -9,6 +9,8 @@ from quirefold.functions import geometry as g
 from quirefold.functions.text import vote_form
 from quirefold.operators import layout as lay
 from quirefold.operators import spatial as sp
+from quirefold.operators.once import canonical_path
+from quirefold.plans.made import BLOCKS_TOO, PLAN_TOO, WORDS_TOO, blocks_too, plan_too, words_too
 from quirefold.session import table
 
 PAGE = sp.PAGE
@@ -59,11 +61,11 @@ def join_j2_block_words(spark, d):
 
 @query(
     "join_j3_words_outside",
-    f"SELECT doc_id, page, word_no FROM words w WHERE NOT EXISTS (SELECT 1 FROM cells b WHERE b.doc_id = w.doc_id AND b.page = w.page AND {IN('b', 'w')}) AND NOT EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = w.doc_id AND b.page = w.page AND {IN('b', 'w')})",
+    f"WITH {WORDS_TOO} SELECT doc_id, page, word_no FROM words_too w WHERE NOT EXISTS (SELECT 1 FROM cells b WHERE b.doc_id = w.doc_id AND b.page = w.page AND {IN('b', 'w')}) AND NOT EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = w.doc_id AND b.page = w.page AND {IN('b', 'w')})",
 )
 def join_j3_words_outside(spark, d):
     """Words that neither a table cell nor a block holds."""
-    w = table(spark, d, "words").select(*PAGE, "word_no", "x0", "y0", "x1", "y1")
+    w = words_too(spark, d).select(*PAGE, "word_no", "x0", "y0", "x1", "y1")
     return sp.outside(sp.outside(w, table(spark, d, "cells")), table(spark, d, "blocks")).select(*PAGE, "word_no")
 
 
@@ -114,12 +116,12 @@ def join_j7_near_weak(spark, d):
 
 @query(
     "join_j9_crossed_words",
-    f"SELECT doc_id, page, word_no FROM words w WHERE EXISTS (SELECT 1 FROM blocks m WHERE m.block_type = 'graphic' AND m.doc_id = w.doc_id AND m.page = w.page AND {YO('w', 'm')} > 0 AND {XO('w', 'm')} > 0)",
+    f"WITH {WORDS_TOO}, {BLOCKS_TOO} SELECT doc_id, page, word_no FROM words_too w WHERE EXISTS (SELECT 1 FROM blocks_too m WHERE m.block_type = 'graphic' AND m.doc_id = w.doc_id AND m.page = w.page AND {YO('w', 'm')} > 0 AND {XO('w', 'm')} > 0)",
 )
 def join_j9_crossed_words(spark, d):
     """Words that a graphic block overlaps."""
-    w = table(spark, d, "words").select(*PAGE, "word_no", "x0", "y0", "x1", "y1")
-    return sp.crossed(w, table(spark, d, "blocks").where("block_type = 'graphic'")).select(*PAGE, "word_no")
+    w = words_too(spark, d).select(*PAGE, "word_no", "x0", "y0", "x1", "y1")
+    return sp.crossed(w, blocks_too(spark, d).where("block_type = 'graphic'")).select(*PAGE, "word_no")
 
 
 @query(
@@ -156,13 +158,13 @@ def join_j11_token_languages(spark, d):
 
 @query(
     "join_j12_repeated_lines",
-    f"""WITH k AS (SELECT *, array_to_string(line_id, '-') AS line_key FROM words WHERE text IS NOT NULL),
+    f"""WITH {WORDS_TOO}, k AS (SELECT *, array_to_string(line_id, '-') AS line_key FROM words_too WHERE text IS NOT NULL),
       l AS (SELECT doc_id, page, line_key, min(word_no) AS first_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, avg(CASE WHEN isnan(confidence) THEN 0 ELSE confidence END) AS c FROM k GROUP BY ALL)
       SELECT a.doc_id, a.page, a.line_key FROM l a WHERE EXISTS (SELECT 1 FROM l b WHERE a.doc_id = b.doc_id AND a.page = b.page AND a.line_key <> b.line_key AND {IN("b", "a")} AND (b.c > a.c OR (b.c = a.c AND b.first_no < a.first_no)))""",
 )
 def join_j12_repeated_lines(spark, d):
     """Lines whose centre lies in a better read line of the page."""
-    k = table(spark, d, "words").where("text is not null").withColumn("line_key", F.array_join(F.col("line_id").cast("array<string>"), "-"))
+    k = words_too(spark, d).where("text is not null").withColumn("line_key", F.array_join(F.col("line_id").cast("array<string>"), "-"))
     l = k.groupBy(*PAGE, "line_key").agg(F.min("word_no").alias("first_no"), *g.enclosing(), F.avg(F.nanvl("confidence", F.lit(0.0))).alias("c"))
     b = l.select(*[F.col(c).alias(f"b_{c}") for c in l.columns])
     same = (F.col("doc_id") == F.col("b_doc_id")) & (F.col("page") == F.col("b_page")) & (F.col("line_key") != F.col("b_line_key"))
@@ -170,11 +172,20 @@ def join_j12_repeated_lines(spark, d):
     return l.join(b, same & g.contains_centre("b_") & better, "left_semi").select(*PAGE, "line_key")
 
 
-@query("join_j14_todo_files", "SELECT DISTINCT file FROM journal j WHERE NOT EXISTS (SELECT 1 FROM journal k WHERE k.file = j.file AND k.outcome = 'issued')")
+@query(
+    "join_j14_todo_files",
+    r"""WITH n AS (SELECT regexp_replace(regexp_replace(regexp_replace(trim(file), '\\+', '/', 'g'), '/(\./|/)+', '/', 'g'), '^(\./+)+', '') AS name, outcome FROM journal WHERE file IS NOT NULL)
+      SELECT name, count(*) AS n FROM n GROUP BY name HAVING count(*) FILTER (outcome IN ('issued', 'refused')) = 0
+      UNION ALL SELECT 'new/' || name, 0 FROM (SELECT DISTINCT name FROM n WHERE outcome = 'refused') WHERE name LIKE '%7.pdf'""",
+)
 def join_j14_todo_files(spark, d):
-    """Files without any issued result. The hot file collapses in the aggregation; no join is needed."""
-    j = table(spark, d, "journal").where("file is not null").groupBy("file").agg(F.bool_or(F.coalesce(F.col("outcome") == "issued", F.lit(False))).alias("done"))
-    return j.where("not done").select("file")
+    """Documents without a result: of a folder that holds the journal's files and some new ones, those that
+    the journal neither issued nor refused, under one spelling of the path. The hot file collapses in the aggregation."""
+    j = table(spark, d, "journal").where("file is not null").select(canonical_path(F.col("file")).alias("name"), "outcome")
+    done = j.where(F.col("outcome").isin("issued", "refused")).select("name").distinct()
+    new = j.where((F.col("outcome") == "refused") & F.col("name").endswith("7.pdf")).select(F.concat(F.lit("new/"), "name").alias("name")).distinct().withColumn("n", F.lit(0).cast("long"))
+    folder = j.groupBy("name").agg(F.count("*").alias("n")).unionByName(new)
+    return folder.join(done, "name", "left_anti")
 
 
 @query(
@@ -210,16 +221,16 @@ def join_j17_slot_columns(spark, d):
 
 @query(
     "join_j22_orphans",
-    """SELECT 'run without block' AS issue, doc_id, page, block_no AS item FROM runs r WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = r.doc_id AND b.page = r.page AND b.block_no = r.block_no)
+    f"""WITH {WORDS_TOO} SELECT 'run without block' AS issue, doc_id, page, block_no AS item FROM runs r WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = r.doc_id AND b.page = r.page AND b.block_no = r.block_no)
       UNION ALL SELECT 'cell without table', doc_id, page, table_no FROM cells c WHERE NOT EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = c.doc_id AND b.page = c.page AND b.block_type = 'table')
-      UNION ALL SELECT 'word without plan', doc_id, page, word_no FROM words w WHERE NOT EXISTS (SELECT 1 FROM page_plan p WHERE p.doc_id = w.doc_id AND p.page = w.page)""",
+      UNION ALL SELECT 'word without plan', doc_id, page, word_no FROM words_too w WHERE NOT EXISTS (SELECT 1 FROM page_plan p WHERE p.doc_id = w.doc_id AND p.page = w.page)""",
 )
 def join_j22_orphans(spark, d):
     """Rows whose parent is missing."""
     b, p = table(spark, d, "blocks"), table(spark, d, "page_plan")
     runs = table(spark, d, "runs").join(b.select(*PAGE, "block_no"), [*PAGE, "block_no"], "left_anti").select(F.lit("run without block").alias("issue"), *PAGE, F.col("block_no").alias("item"))
     cells = table(spark, d, "cells").join(b.where("block_type = 'table'").select(*PAGE), PAGE, "left_anti").select(F.lit("cell without table").alias("issue"), *PAGE, F.col("table_no").alias("item"))
-    words = table(spark, d, "words").join(p.select(*PAGE), PAGE, "left_anti").select(F.lit("word without plan").alias("issue"), *PAGE, F.col("word_no").alias("item"))
+    words = words_too(spark, d).join(p.select(*PAGE), PAGE, "left_anti").select(F.lit("word without plan").alias("issue"), *PAGE, F.col("word_no").alias("item"))
     return runs.unionByName(cells).unionByName(words)
 
 
@@ -242,12 +253,12 @@ def set_u2_common_languages(spark, d):
 
 @query(
     "set_u3_missing_pages",
-    "SELECT doc_id, page FROM page_plan WHERE route <> 'BLANK' AND doc_id IN (SELECT doc_id FROM words) EXCEPT SELECT doc_id, page FROM words",
+    f"WITH {WORDS_TOO}, {PLAN_TOO} SELECT doc_id, page FROM plan_too WHERE route <> 'BLANK' AND doc_id IN (SELECT doc_id FROM words_too) EXCEPT SELECT doc_id, page FROM words_too",
 )
 def set_u3_missing_pages(spark, d):
     """Planned pages of documents with words that have none themselves."""
-    w = table(spark, d, "words").select(*PAGE)
-    planned = table(spark, d, "page_plan").where("route <> 'BLANK'").join(w.select("doc_id").distinct(), "doc_id", "left_semi").select(*PAGE)
+    w = words_too(spark, d).select(*PAGE)
+    planned = plan_too(spark, d).where("route <> 'BLANK'").join(w.select("doc_id").distinct(), "doc_id", "left_semi").select(*PAGE)
     return planned.distinct().join(w.distinct(), PAGE, "left_anti")
 
 

@@ -134,19 +134,34 @@ def agg_g6_ocr_sizes(spark, d):
     return lay.ocr_sizes(table(spark, d, "words"))
 
 
-@query("agg_g7_margins", f"WITH {LINES}, {MARGINS} SELECT * FROM margins")
+_ROWS = f"""{LINES}, pages AS (SELECT doc_id, page, max(width) AS width FROM page_plan GROUP BY ALL),
+  alone AS (SELECT a.*, NOT EXISTS (SELECT 1 FROM lines b WHERE b.doc_id = a.doc_id AND b.page = a.page AND b.line_key <> a.line_key
+    AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0.5 * least(a.y1 - a.y0, b.y1 - b.y0)) AS single FROM lines a)"""
+
+
+@query(
+    "agg_g7_margins",
+    f"""WITH {_ROWS}, k AS (SELECT a.*, p.width, a.single AND x1 - x0 >= 0.45 * p.width AS wide FROM alone a JOIN pages p USING (doc_id, page))
+      SELECT doc_id, page, count(*) FILTER (wide) AS n_wide, {R("list_sort(CASE WHEN count(*) FILTER (wide) > 0 THEN list(x0) FILTER (wide) ELSE list(x0) END)[floor(0.2 * (CASE WHEN count(*) FILTER (wide) > 0 THEN count(*) FILTER (wide) ELSE count(*) END - 1))::INT + 1]")} AS left_margin,
+        {R("CASE WHEN count(*) FILTER (wide) > 0 THEN list_sort(list(x1) FILTER (wide))[floor(0.8 * (count(*) FILTER (wide) - 1))::INT + 1] ELSE max(width) - list_sort(list(x0))[floor(0.2 * (count(*) - 1))::INT + 1] END")} AS right_margin
+      FROM k GROUP BY ALL""",
+)
 def agg_g7_margins(spark, d):
-    return lay.margins(lay.lines(table(spark, d, "words")))
+    """Text margins by index quantiles over lines that stand alone in their row and are .45 of the page wide; without one, over all lines."""
+    width = table(spark, d, "page_plan").groupBy(*PAGE).agg(F.max("width").alias("width"))
+    return lay.wide_margins(lay.single_lines(lay.lines(table(spark, d, "words"))).join(width, PAGE))
 
 
 @query(
     "agg_g8_line_pitch",
-    f"""WITH {LINES}, gap AS (SELECT doc_id, page, y1 - y0 AS h, y0 - lag(y1) OVER (PARTITION BY doc_id, page ORDER BY y0, x0, line_key) AS gap FROM lines)
+    f"""WITH {_ROWS}, gap AS (SELECT *, y1 - y0 AS h, CASE WHEN single AND lag(single) OVER w THEN y0 - lag(y1) OVER w END AS gap FROM alone WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, line_key))
       SELECT doc_id, page, {R("coalesce(median(gap) FILTER (gap >= 0), 0.3 * median(h))")} AS pitch FROM gap GROUP BY ALL""",
 )
 def agg_g8_line_pitch(spark, d):
+    """The median gap of consecutive lines that stand alone in their rows."""
     order = Window.partitionBy(*PAGE).orderBy("y0", "x0", "line_key")
-    lines = lay.lines(table(spark, d, "words")).withColumns({"gap": F.col("y0") - F.lag("y1").over(order), "h": g.height()})
+    lines = lay.single_lines(lay.lines(table(spark, d, "words"))).withColumn("h", g.height())
+    lines = lines.withColumn("gap", F.when(F.col("single") & F.lag("single").over(order), F.col("y0") - F.lag("y1").over(order)))
     gap = F.median(F.when(F.col("gap") >= 0, F.col("gap")))
     return lines.groupBy(*PAGE).agg(g.rounded(F.coalesce(gap, 0.3 * F.median("h"))).alias("pitch"))
 

@@ -12,6 +12,7 @@ from quirefold.operators import layout as lay
 from quirefold.operators import raster
 from quirefold.operators import restoration as rs
 from quirefold.operators import spatial as sp
+from quirefold.plans.made import WORDS_TOO, words_too
 from quirefold.session import table
 
 PAGE = lay.PAGE
@@ -31,6 +32,7 @@ def query(name: str, sql: str | None = None):
 
 R = lambda x, k=10000: f"floor(({x}) * {k}.0 + 0.5) / {k}.0"
 KEYED = "keyed AS (SELECT *, CASE WHEN len(line_id) > 0 THEN array_to_string(line_id, '-') ELSE 'y' || round_even(y0 / 4, 0)::INT END AS line_key FROM words WHERE text IS NOT NULL)"
+KEYED_TOO = KEYED.replace("FROM words", "FROM words_too")
 
 
 @query("text_f10_similarity")
@@ -53,7 +55,7 @@ def text_f15_case_like(spark, d):
 @query("text_f18_option_labels")
 def text_f18_option_labels(spark, d):
     """Option labels of Cyrillic lists (rows only: few or none in the data; tested on a fixture)."""
-    return rs.option_labels(table(spark, d, "words"))
+    return rs.option_labels(words_too(spark, d))
 
 
 @query("text_f19_cyrillic_spellings")
@@ -76,11 +78,11 @@ def text_f21_place_abbreviations(spark, d):
 
 @query(
     "text_f26_bullets",
-    f"""WITH {KEYED}, l AS (SELECT doc_id, page, word_no, text, x1, y0, y1, row_number() OVER w AS k, lead(x0) OVER w - x1 AS gap FROM keyed WINDOW w AS (PARTITION BY doc_id, page, line_key ORDER BY x0, word_no))
+    f"""WITH {WORDS_TOO}, {KEYED_TOO}, l AS (SELECT doc_id, page, word_no, text, x1, y0, y1, row_number() OVER w AS k, lead(x0) OVER w - x1 AS gap FROM keyed WINDOW w AS (PARTITION BY doc_id, page, line_key ORDER BY x0, word_no))
       SELECT doc_id, page, word_no, text FROM l WHERE k = 1 AND text IN ('e', 'o', 'c', '©', '°', '*', '·') AND gap >= 0.5 * (y1 - y0)""",
 )
 def text_f26_bullets(spark, d):
-    return rs.bullets(table(spark, d, "words"))
+    return rs.bullets(words_too(spark, d))
 
 
 @query(
@@ -151,16 +153,25 @@ def lex_l14_initials(spark, d):
     return w.select(*PAGE, "word_no", i("text").alias("initial"), (F.col("alternative").isNotNull() & (i(F.coalesce("alternative", F.lit(""))) == i("text"))).alias("confirmed"))
 
 
+_WEAK_FIELD = "source_region = 'ocr_unstable'"
+
+
 @query(
-    "join_j8_doubtful_near_graphics",
-    """SELECT doc_id, page, word_no FROM words w WHERE confidence < 0.85 AND EXISTS (SELECT 1 FROM blocks m WHERE m.block_type = 'graphic' AND m.doc_id = w.doc_id AND m.page = w.page
-      AND greatest(0, greatest(m.y0 - w.y1, w.y0 - m.y1)) <= 3 * (w.y1 - w.y0) AND greatest(0, greatest(m.x0 - w.x1, w.x0 - m.x1)) <= 3 * (w.y1 - w.y0))""",
+    "join_j8_doubtful_near_fields",
+    f"""SELECT doc_id, page, word_no FROM words w WHERE NOT ({_WEAK_FIELD}) AND confidence < 0.9 AND NOT coalesce(alternative = text, false) AND regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AND EXISTS
+      (SELECT 1 FROM words m WHERE m.source_region = 'ocr_unstable' AND m.doc_id = w.doc_id AND m.page = w.page
+      AND greatest(0, greatest(m.y0 - w.y1, w.y0 - m.y1)) <= greatest(w.y1 - w.y0, m.y1 - m.y0) AND greatest(0, greatest(m.x0 - w.x1, w.x0 - m.x1)) <= 3 * greatest(w.y1 - w.y0, m.y1 - m.y0))""",
 )
-def join_j8_doubtful_near_graphics(spark, d):
-    """Weak words within three heights of a graphic."""
-    w = table(spark, d, "words").where("confidence < 0.85 and not isnan(confidence)").select(*PAGE, "word_no", "x0", "y0", "x1", "y1")
-    m = table(spark, d, "blocks").where("block_type = 'graphic'").select(*[F.col(c).alias(f"m_{c}") for c in (*PAGE, "x0", "y0", "x1", "y1")])
-    near = (-g.y_overlap("", "m_") <= 3 * g.height()) & (-g.x_overlap("", "m_") <= 3 * g.height())
+def join_j8_doubtful_near_fields(spark, d):
+    """Words that two readings do not agree on, weaker than .9, within one height above or below and three heights beside a
+    field. The tables mark no empty fields; unstable readings stand where handwriting was."""
+    words = table(spark, d, "words")
+    agreed = F.coalesce(F.col("alternative") == F.col("text"), F.lit(False))
+    w = words.where((F.col("source_region") != "ocr_unstable") & (F.col("confidence") < 0.9) & ~F.isnan("confidence") & ~agreed & F.col("text").rlike(r"[\p{L}\p{N}]"))
+    m = words.where(_WEAK_FIELD).select(*[F.col(c).alias(f"m_{c}") for c in (*PAGE, "x0", "y0", "x1", "y1")])
+    h = F.greatest(g.height(), g.height("m_"))
+    near = (-g.y_overlap("", "m_") <= h) & (-g.x_overlap("", "m_") <= 3 * h)
+    w = w.select(*PAGE, "word_no", "x0", "y0", "x1", "y1")
     return w.join(m, (F.col("doc_id") == F.col("m_doc_id")) & (F.col("page") == F.col("m_page")) & near, "left_semi").select(*PAGE, "word_no")
 
 
@@ -180,11 +191,11 @@ def join_j18_single_slots(spark, d):
 
 @query(
     "join_j19_halves",
-    f"""WITH {KEYED}, l AS (SELECT doc_id, page, word_no, text, alternative, lead(text) OVER w AS after, lead(word_no) OVER w AS after_no FROM keyed WINDOW w AS (PARTITION BY doc_id, page, line_key ORDER BY x0, word_no))
+    f"""WITH {WORDS_TOO}, {KEYED_TOO}, l AS (SELECT doc_id, page, word_no, text, alternative, lead(text) OVER w AS after, lead(word_no) OVER w AS after_no FROM keyed WINDOW w AS (PARTITION BY doc_id, page, line_key ORDER BY x0, word_no))
       SELECT doc_id, page, word_no, after_no, alternative AS joined FROM l WHERE alternative <> '' AND text || after = alternative""",
 )
 def join_j19_halves(spark, d):
-    return rs.halves(table(spark, d, "words"))
+    return rs.halves(words_too(spark, d))
 
 
 @query("join_j20_components")
@@ -207,16 +218,25 @@ def sort_o6_weak_words(spark, d):
 
 
 @query(
-    "win_w16_isolated_errors",
-    f"""WITH {KEYED}, f AS (SELECT *, coalesce(confidence < 0.8, false) AS weak, x0 - lag(x1) OVER w AS before, lead(x0) OVER w - x1 AS after FROM keyed WINDOW w AS (PARTITION BY doc_id, page, line_key ORDER BY x0, word_no))
-      SELECT doc_id, page, word_no FROM f WHERE weak AND coalesce(before, 1e9) > 0.4 * (y1 - y0) AND coalesce(after, 1e9) > 0.4 * (y1 - y0)""",
+    "win_w16_error_runs",
+    f"""WITH {KEYED}, f AS (SELECT *, coalesce(confidence < 0.8, false) AS weak FROM keyed),
+      s AS (SELECT *, sum(CASE WHEN weak AND NOT coalesce(was, false) OR NOT weak THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line_key ORDER BY x0, word_no ROWS UNBOUNDED PRECEDING) AS run_no
+        FROM (SELECT *, lag(weak) OVER (PARTITION BY doc_id, page, line_key ORDER BY x0, word_no) AS was FROM f)),
+      r AS (SELECT doc_id, page, line_key, run_no, bool_and(weak) AS weak, count(*) AS n_words, min(x0) AS a, max(x1) AS b, max(y1 - y0) * 2.5 AS reach FROM s GROUP BY ALL),
+      n AS (SELECT *, a - lag(b) OVER w AS before, lead(a) OVER w - b AS after FROM r WINDOW w AS (PARTITION BY doc_id, page, line_key ORDER BY run_no))
+      SELECT doc_id, page, line_key, run_no::BIGINT AS run_no, n_words, coalesce(before, 1e9) > reach AND coalesce(after, 1e9) > reach AS isolated FROM n WHERE weak""",
 )
-def win_w16_isolated_errors(spark, d):
-    """Weak words with a gap on either side."""
+def win_w16_error_runs(spark, d):
+    """Runs of weak words of a line, and whether both gaps beside a run exceed two and a half of its heights."""
     line = Window.partitionBy(*PAGE, "line_key").orderBy("x0", "word_no")
-    w = lay.with_line(table(spark, d, "words").where("text is not null")).withColumns({"before": F.col("x0") - F.lag("x1").over(line), "after": F.lead("x0").over(line) - F.col("x1")})
-    far = lambda c: F.coalesce(c, F.lit(1e9)) > 0.4 * g.height()
-    return w.where(F.coalesce(F.col("confidence") < 0.8, F.lit(False)) & ~F.isnan("confidence") & far("before") & far("after")).select(*PAGE, "word_no")
+    w = lay.with_line(table(spark, d, "words").where("text is not null")).withColumn("weak", F.coalesce(F.col("confidence") < 0.8, F.lit(False)) & ~F.isnan(F.coalesce("confidence", F.lit(0.0))))
+    starts = F.when(~F.col("weak") | ~F.coalesce(F.lag("weak").over(line), F.lit(False)), 1).otherwise(0)
+    runs = w.withColumn("new", starts).withColumn("run_no", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    r = runs.groupBy(*PAGE, "line_key", "run_no").agg(F.every("weak").alias("weak"), F.count("*").alias("n_words"), F.min("x0").alias("a"), F.max("x1").alias("b"), (F.max(g.height()) * 2.5).alias("reach"))
+    beside = Window.partitionBy(*PAGE, "line_key").orderBy("run_no")
+    far = lambda c: F.coalesce(c, F.lit(1e9)) > F.col("reach")
+    r = r.withColumns({"before": F.col("a") - F.lag("b").over(beside), "after": F.lead("a").over(beside) - F.col("b")})
+    return r.where("weak").select(*PAGE, "line_key", "run_no", "n_words", (far(F.col("before")) & far(F.col("after"))).alias("isolated"))
 
 
 @query(

@@ -9,6 +9,7 @@ from quirefold.functions import geometry as g
 from quirefold.functions import text as tx
 from quirefold.operators import lexical as lex
 from quirefold.operators import routing as rt
+from quirefold.plans.made import WORDS_TOO, words_too
 from quirefold.session import table
 
 PAGE = ["doc_id", "page"]
@@ -31,6 +32,8 @@ CNT = lambda t, c: f"length(regexp_replace({t}, '[^{c}]', '', 'g'))"  # noqa: E7
 TOK = "regexp_replace(lower(replace(text, 'İ', 'i')), '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')"
 TOKENS = f"tokens AS (SELECT {TOK} AS token, count(*) AS n FROM words WHERE text IS NOT NULL GROUP BY 1 HAVING token <> '')"
 LIST = "list AS (SELECT DISTINCT lower(word) AS word FROM lexicon WHERE word IS NOT NULL)"
+# Letters of Kazakh, Kyrgyz, Uzbek, Tajik and Azerbaijani, Uzbek, Turkmen that Russian and English lack.
+NATIONAL = "әғқңөұүһіўҳӣӯҷјəğıöüşçñäňýžʻ"
 PLAN = "plan AS (SELECT DISTINCT * FROM page_plan)"
 
 
@@ -50,15 +53,16 @@ def text_p5_bad_characters(spark, d):
 
 @query(
     "pred_p10_token_predicates",
-    """SELECT doc_id, page, count(*) FILTER (regexp_matches(text, '[%^~|{}<>\\\\#=+*]')) AS n_junk, count(*) FILTER (regexp_matches(text, '(?i)@|https?:|www\\.')) AS n_address,
+    """SELECT doc_id, page, count(*) FILTER (regexp_matches(text, '[%^~|{}<>\\\\#=+*]') OR regexp_matches(text, '(^|[^0-9A-Za-zА-Яа-яЁё])_|_([^0-9A-Za-zА-Яа-яЁё]|$)')) AS n_junk,
+      count(*) FILTER (regexp_matches(text, '(?i)@|https?:|www\\.|\\.(ru|kz|uz|kg|tj|tm|az|com|org|net|gov)([^\\p{L}\\p{N}_]|$)')) AS n_address,
       count(*) FILTER (regexp_matches(text, '^\\p{Lu}\\.$')) AS n_initials, count(*) FILTER (regexp_matches(text, '[^\\p{L}\\p{N}\\p{P}\\s]') AND regexp_matches(text, '[\\p{L}\\p{N}]')) AS n_garbled,
       count(*) FILTER (regexp_matches(text, '^[\\d.,/-]*\\d[\\d.,/-]*$')) AS n_numbers FROM words WHERE text IS NOT NULL GROUP BY ALL""",
 )
 def pred_p10_token_predicates(spark, d):
     t = F.col("text")
     return table(spark, d, "words").where("text is not null").groupBy(*PAGE).agg(
-        F.count_if(t.rlike(tx.JUNK)).alias("n_junk"),
-        F.count_if(t.rlike(tx.ADDRESS_LIKE)).alias("n_address"),
+        F.count_if(t.rlike(tx.JUNK) | t.rlike(tx.LOOSE_UNDERSCORE)).alias("n_junk"),
+        F.count_if(t.rlike(tx.ADDRESS_LIKE) | t.rlike(tx.DOMAIN)).alias("n_address"),
         F.count_if(t.rlike(r"^\p{Lu}\.$")).alias("n_initials"),
         F.count_if(t.rlike(r"[^\p{L}\p{N}\p{P}\s]") & t.rlike(r"[\p{L}\p{N}]")).alias("n_garbled"),
         F.count_if(t.rlike(r"^[\d.,/-]*\d[\d.,/-]*$")).alias("n_numbers"),
@@ -170,12 +174,12 @@ def text_f20_years(spark, d):
 
 @query(
     "text_f22_stray_brackets",
-    """WITH l AS (SELECT doc_id, page, line_id, string_agg(text, ' ' ORDER BY word_no) AS t FROM words WHERE text IS NOT NULL GROUP BY ALL)
+    f"""WITH {WORDS_TOO}, l AS (SELECT doc_id, page, line_id, string_agg(text, ' ' ORDER BY word_no) AS t FROM words_too WHERE text IS NOT NULL GROUP BY ALL)
       SELECT doc_id, page, array_to_string(line_id, '-') AS line_key, (length(t) - length(replace(t, '(', '')))::INT AS opened, (length(t) - length(replace(t, ')', '')))::INT AS closed FROM l
       WHERE length(replace(t, '(', '')) <> length(replace(t, ')', ''))""",
 )
 def text_f22_stray_brackets(spark, d):
-    l = table(spark, d, "words").where("text is not null").groupBy(*PAGE, "line_id").agg(
+    l = words_too(spark, d).where("text is not null").groupBy(*PAGE, "line_id").agg(
         F.sum(tx.count_of(F.col("text"), r"\(")).cast("int").alias("opened"), F.sum(tx.count_of(F.col("text"), r"\)")).cast("int").alias("closed")
     )
     return l.where("opened <> closed").select(*PAGE, F.array_join(F.col("line_id").cast("array<string>"), "-").alias("line_key"), "opened", "closed")
@@ -197,15 +201,17 @@ def lex_l5_corrections(spark, d):
 
 @query(
     "lex_l5_ascii_corrections",
-    f"""WITH {TOKENS}, {LIST}, u AS (SELECT token FROM tokens WHERE regexp_matches(token, '^[a-z]{{3,40}}$') AND token NOT IN (SELECT word FROM list)),
-      w AS (SELECT word FROM list WHERE regexp_matches(word, '^[a-z]{{2,41}}$')),
-      p AS (SELECT token, word, CASE WHEN length(token) = length(word) THEN 0 ELSE 1 END AS cost FROM u JOIN w ON abs(length(token) - length(word)) <= 1 AND levenshtein(token, word) = 1),
+    f"""WITH {TOKENS}, {LIST}, u AS (SELECT token FROM tokens WHERE regexp_matches(token, '^[a-z]{{2,}}$') AND token NOT IN (SELECT word FROM list)),
+      w AS (SELECT word FROM list WHERE regexp_matches(word, '^[a-z]{{2,}}$')),
+      p AS (SELECT token, word, CASE WHEN length(token) > length(word) THEN 1 WHEN length(token) < length(word) THEN 2 WHEN levenshtein(token, word) = 2 THEN 1
+          WHEN EXISTS (SELECT 1 FROM unnest(range(1, length(token) + 1)) AS i(i) WHERE substr(token, i, 1) || substr(word, i, 1) IN ('il', 'li', 'ce', 'ec')) THEN 0 ELSE 2 END AS cost
+        FROM u JOIN w ON abs(length(token) - length(word)) <= 1 AND damerau_levenshtein(token, word) = 1),
       r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY cost, word) AS place FROM p) SELECT token, word, cost, place::INT AS place FROM r WHERE place <= 12""",
 )
 def lex_l5_ascii_corrections(spark, d):
     words = lex.word_list(table(spark, d, "lexicon"))
-    t = lex.token_counts(table(spark, d, "words")).where(F.col("token").rlike("^[a-z]{3,40}$")).join(words, F.col("token") == F.col("word"), "left_anti")
-    return lex.corrections(t.select("token"), words.where(F.col("word").rlike("^[a-z]{2,41}$"))).select("token", "word", "cost", "place")
+    t = lex.token_counts(table(spark, d, "words")).where(F.col("token").rlike("^[a-z]{2,}$")).join(words, F.col("token") == F.col("word"), "left_anti")
+    return lex.corrections(t.select("token"), words.where(F.col("word").rlike("^[a-z]{2,}$"))).select("token", "word", "cost", "place")
 
 
 @query(
@@ -270,22 +276,26 @@ def agg_g13_page_languages(spark, d):
 
 @query(
     "agg_g14_coverage",
-    f"""WITH {LIST}, t AS (SELECT doc_id, page, {TOK} AS token FROM words WHERE text IS NOT NULL)
+    f"""WITH {LIST}, t AS (SELECT doc_id, page, {TOK} AS token FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY word_no) AS k FROM words WHERE regexp_matches(text, '\\p{{L}}')) WHERE k <= 200)
       SELECT doc_id, page, count(*) AS n_long, {R("avg(CASE WHEN token IN (SELECT word FROM list) THEN 1.0 ELSE 0.0 END)")} AS coverage FROM t WHERE length(token) >= 4 GROUP BY ALL""",
 )
 def agg_g14_coverage(spark, d):
+    """The share of long tokens among a page's first 200 lettered words that the list holds."""
     listed = lex.word_list(table(spark, d, "lexicon")).select(F.col("word").alias("token"), F.lit(1.0).alias("hit"))
-    t = table(spark, d, "words").where("text is not null").select(*PAGE, lex.token(F.col("text")).alias("token")).where("length(token) >= 4")
+    k = F.row_number().over(Window.partitionBy(*PAGE).orderBy("word_no"))
+    first = table(spark, d, "words").where(F.col("text").rlike(r"\p{L}")).withColumn("k", k).where("k <= 200")
+    t = first.select(*PAGE, lex.token(F.col("text")).alias("token")).where("length(token) >= 4")
     return t.join(listed, "token", "left").groupBy(*PAGE).agg(F.count("*").alias("n_long"), g.rounded(F.avg(F.coalesce("hit", F.lit(0.0)))).alias("coverage"))
 
 
 @query(
     "agg_g15_national_pages",
-    "SELECT doc_id, page, count(*) FILTER (regexp_matches(text, '[әғқңөұүһіўҳӣӯҷəğıöüşçñäňýžʻ]')) AS n FROM words WHERE text IS NOT NULL GROUP BY ALL HAVING n >= greatest(3, 0.05 * count(*))",
+    f"SELECT doc_id, page, count(*) FILTER (regexp_matches(lower(text), '[{NATIONAL}]')) AS n FROM words WHERE regexp_matches(text, '\\p{{L}}') GROUP BY ALL HAVING n >= greatest(3, 0.05 * count(*))",
 )
 def agg_g15_national_pages(spark, d):
-    n = F.count_if(F.col("text").rlike("[әғқңөұүһіўҳӣӯҷəğıöüşçñäňýžʻ]"))
-    s = table(spark, d, "words").where("text is not null").groupBy(*PAGE).agg(n.alias("n"), F.count("*").alias("all"))
+    """Pages with enough words that hold a letter of the region's languages that Russian and English lack."""
+    n = F.count_if(F.lower("text").rlike(f"[{NATIONAL}]"))
+    s = table(spark, d, "words").where(F.col("text").rlike(r"\p{L}")).groupBy(*PAGE).agg(n.alias("n"), F.count("*").alias("all"))
     return s.where(F.col("n") >= F.greatest(F.lit(3), 0.05 * F.col("all"))).select(*PAGE, "n")
 
 
@@ -322,7 +332,7 @@ def trust_p4_geometry(spark, d):
 @query(
     "trust_g11_layers",
     f"""WITH {_TRUST}, {PLAN}, c AS (SELECT v.doc_id, v.page, n_words, valid, text_layer_status AS given, text_layer_bad_character_ratio AS bad, text_layer_duplicate_ratio AS dup, text_layer_ink_coverage AS ink,
-        least(0.95, 0.2 * greatest(0.0, 1 - text_layer_bad_character_ratio * 20) + 0.2 * greatest(0.0, 1 - text_layer_duplicate_ratio * 10) + 0.2 * valid + 0.3 * least(1.0, text_layer_ink_coverage / 0.75) + 0.1 * 1.0) AS c
+        least(0.95, 0.2 * greatest(0.0, 1 - text_layer_bad_character_ratio * 20) + 0.2 * greatest(0.0, 1 - text_layer_duplicate_ratio * 10) + 0.2 * valid + 0.3 * least(1.0, text_layer_ink_coverage / 0.75) + CASE WHEN ocr_layer_evidence THEN 0.1 ELSE 0.0 END) AS c
         FROM valid v JOIN plan p ON v.doc_id = p.doc_id AND v.page = p.page WHERE text_layer_status IN ('TRUSTED', 'UNTRUSTED'))
       SELECT doc_id, page, given, {R("c")} AS confidence, n_words >= 3 AND bad <= 0.02 AND dup <= 0.05 AND valid >= 0.98 AND ink >= 0.65 AND c >= 0.7 AS trusted FROM c""",
 )
@@ -330,7 +340,7 @@ def trust_g11_layers(spark, d):
     """Trust of text layers from their measures and the geometry of their words."""
     p = table(spark, d, "page_plan").distinct().where("text_layer_status in ('TRUSTED', 'UNTRUSTED')")
     bad, dup, ink = (F.col(f"text_layer_{k}") for k in ("bad_character_ratio", "duplicate_ratio", "ink_coverage"))
-    j = _geometry(spark, d).join(p, PAGE).withColumn("c", rt.layer_confidence(bad, dup, F.col("valid"), ink, F.lit(1.0)))
+    j = _geometry(spark, d).join(p, PAGE).withColumn("c", rt.layer_confidence(bad, dup, F.col("valid"), ink, F.when(F.col("ocr_layer_evidence"), 1.0).otherwise(0.0)))
     ok = (F.col("n_words") >= 3) & (bad <= 0.02) & (dup <= 0.05) & (F.col("valid") >= 0.98) & (ink >= 0.65) & (F.col("c") >= 0.7)
     return j.select(*PAGE, F.col("text_layer_status").alias("given"), g.rounded(F.col("c")).alias("confidence"), ok.alias("trusted"))
 

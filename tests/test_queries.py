@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-MODULES = [importlib.import_module(f"quirefold.plans.{m}") for m in ("dedup", "layout_queries", "join_queries", "text_queries", "journal_queries", "restore_queries")]
+MODULES = [importlib.import_module(f"quirefold.plans.{m}") for m in ("dedup", "layout_queries", "join_queries", "text_queries", "journal_queries", "restore_queries", "rule_queries")]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
 
@@ -52,7 +52,7 @@ def test_core_does_without_llm():
     for p in (ROOT / "quirefold").rglob("*.py"):
         if "llm" not in p.parts:
             assert "quirefold.llm" not in p.read_text(), p
-    code = "import sys; sys.modules['quirefold.llm'] = None; import importlib; [importlib.import_module('quirefold.plans.' + m) for m in ('dedup','layout_queries','join_queries','text_queries','journal_queries','restore_queries')]"
+    code = "import sys; sys.modules['quirefold.llm'] = None; import importlib; [importlib.import_module('quirefold.plans.' + m) for m in ('dedup','layout_queries','join_queries','text_queries','journal_queries','restore_queries','rule_queries')]"
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True)
 
 
