@@ -90,8 +90,8 @@ def sink_s19_plain_text(spark, d):
 
 @query("sink_s20_packages")
 def sink_s20_packages(spark, d):
-    """A word-processor package per document with its size and digest (rows only)."""
-    return packages(table(spark, d, "blocks")).select("doc_id", F.length("content").alias("n_bytes"), "sha256")
+    """A word-processor package per document, with its tables, lists and runs; its size and digest (rows only)."""
+    return packages(table(spark, d, "blocks"), table(spark, d, "cells"), table(spark, d, "runs")).select("doc_id", F.length("content").alias("n_bytes"), "sha256")
 
 
 @query("func_m11_digests", "SELECT case_id, sha256(expected_text) AS digest FROM bench_cases")

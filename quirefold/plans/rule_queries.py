@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.functions import geometry as g
+from quirefold.functions import text as tx
 from quirefold.operators import lexical as lex
 from quirefold.operators import rules as ru
 from quirefold.plans.made import PLAN_TOO, WORDS_TOO, plan_too, words_too
@@ -391,6 +392,13 @@ def sort_o8_repair_pages(spark, d):
     return w.groupBy(*PAGE).agg(F.count("*").alias("n")).where("n <= 30")
 
 
+@query("text_f9_unicode_error_rates")
+def text_f9_unicode_error_rates(spark, d):
+    """Error rates of second readings over composed text with marks and digits (rows only: the check engine counts bytes)."""
+    w = table(spark, d, "words").where("text is not null and alternative <> ''")
+    return w.select(*PAGE, "word_no", tx.unicode_error_rate(F.col("alternative"), F.col("text")).alias("rate"))
+
+
 # ---------------------------------------------------------------- pictures, columns, tables on literal geometry
 
 _PIC = [(1, 1, 100.0, 100.0, 200.0, 200.0)]

@@ -53,15 +53,40 @@ def test_folder_and_kinds(spark, tmp_path):
     assert [r["refusal"] for r in files.admitted(void).collect()] == ["empty", "empty"]
 
 
+BLOCKS = "doc_id long, page int, block_no int, block_type string, text string, kind string, level int, list_id int, list_marker string, alignment string, size double, bold boolean"
+CELLS = "doc_id long, page int, table_no int, row_no int, col_no int, row_span int, col_span int, text string"
+RUNS = "doc_id long, page int, block_no int, run_no int, text string, bold boolean, italic boolean, size double, direction string"
+
+
+def parts(spark, blocks, cells=(), runs=()):
+    one = docx.packages(spark.createDataFrame(blocks, BLOCKS), spark.createDataFrame(list(cells), CELLS), spark.createDataFrame(list(runs), RUNS)).first()
+    z = zipfile.ZipFile(io.BytesIO(bytes(one["content"])))
+    return one["sha256"], z.read("word/document.xml").decode(), z.read("word/numbering.xml").decode()
+
+
 def test_packages_are_stable(spark):
-    rows = [(1, 0, 0, "Title & <co>", "heading", 0, "left", 18.0, True), (1, 1, 0, "line\nnext", "paragraph", None, "justify", 11.0, False), (1, 1, 1, None, None, None, None, None, None)]
-    b = spark.createDataFrame(rows, "doc_id long, page int, block_no int, text string, kind string, level int, alignment string, size double, bold boolean")
-    one, two = docx.packages(b).first(), docx.packages(b.orderBy(F.desc("page"))).first()
-    assert one["sha256"] == two["sha256"]
-    xml = zipfile.ZipFile(io.BytesIO(bytes(one["content"]))).read("word/document.xml").decode()
+    rows = [
+        (1, 0, 0, "paragraph", "Title & <co>", "heading", 0, None, None, "left", 18.0, True), (1, 1, 0, "paragraph", "line\nnext", "paragraph", None, None, None, "justify", 11.0, False), (1, 1, 1, "paragraph", None, None, None, None, None, None, None, None),
+    ]
+    one, xml, _ = parts(spark, rows)
+    assert one == parts(spark, rows[::-1])[0]
     assert "Title &amp; &lt;co&gt;" in xml and 'w:type="page"' in xml and "line</w:t><w:br/>" in xml
 
 
+def test_packages_keep_tables_lists_and_runs(spark):
+    p = lambda no, text, list_id=None, marker=None: (1, 0, no, "paragraph", text, "paragraph", None, list_id, marker, "left", 11.0, False)
+    blocks = [p(0, "one two"), (1, 0, 1, "table", None, None, None, None, None, None, None, None), (1, 0, 2, "graphic", None, None, None, None, None, None, None, None), p(3, "first", 1, "1."), p(4, "other list", 2, "a)"), p(5, "bullet", 3, "•")]
+    cells = [(1, 0, 0, 0, 0, 2, 1, "tall"), (1, 0, 0, 0, 1, 1, 2, "wide & <x>"), (1, 0, 0, 1, 1, 1, 1, None), (1, 0, 0, 1, 2, 1, 1, "end"), (1, 0, 7, 0, 0, 1, 1, "unannounced")]
+    runs = [(1, 0, 0, 0, "one ", True, False, 11.0, "ltr"), (1, 0, 0, 1, "two", False, True, 11.0, "rtl"), (1, 0, 3, 0, "not its text", True, True, 11.0, "ltr")]
+    _, xml, numbering = parts(spark, blocks, cells, runs)
+    assert xml.count("<w:tbl>") == 2 and "unannounced" in xml and "wide &amp; &lt;x&gt;" in xml and "not its text" not in xml
+    assert '<w:vMerge w:val="restart"/>' in xml and "<w:vMerge/>" in xml and '<w:gridSpan w:val="2"/>' in xml and xml.count("<w:tr>") == 3
+    assert "<w:b/>" in xml and "<w:i/>" in xml and "<w:rtl/>" in xml and "[graphic 0.2]" in xml
+    assert [numbering.count(f'<w:numFmt w:val="{k}"/>') for k in ("decimal", "lowerLetter", "bullet")] == [1, 1, 1] and xml.count("<w:numPr>") == 3
+    _, xml, _ = parts(spark, [(1, 0, 0, "table", None, None, None, None, None, None, None, None)])
+    assert xml.count("<w:tbl>") == 1  # a table without cells keeps its place
+
+
 def test_costs(spark):
     df = spark.createDataFrame([("OCR", 15.0, False), ("OCR", 2.0, True), ("NATIVE", 0.0, False), ("BLANK", 0.0, False)], "route string, mp double, s boolean")
     assert [r[0] for r in df.select(page_cost(F.col("route"), F.col("mp"), F.col("s"))).collect()] == [3540.0, 90.0, 65.0, 5.0]

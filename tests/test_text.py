@@ -75,3 +75,39 @@ def test_error_rates_of_every_script(spark, tmp_path):
             x, y = ("".join(c.lower() for c in t or "" if c.isalnum()) for t in (a, b))
             want[i] = None if a is None else int(edits(x, y) / max(1, len(x)) * 10000 + 0.5) / 10000
     assert got == want
+
+
+@pytest.mark.parametrize(
+    "lines,want",
+    [
+        (["memo-", "randum"], "memorandum"), (["two-", "fold"], "two-fold"), (["Anti-", "Tank"], "Anti-Tank"), (["well-known-", "good"], "well-known-good"), (["a", "b"], "a b"), (["号", "2026"], "号2026"), (["(", "x", ")"], "(x)"), (["end", "，", "文"], "end，文"), (["a", "", None, " b "], "a b"), ([], ""),
+        (["contract", "2026-", "17"], "contract 2026-17"), (["one (memo-", "randum)"], "one (memo-randum)"), (["-", "item"], "- item"),
+    ],
+)
+def test_line_ends(spark, lines, want):
+    assert spark.createDataFrame([(lines,)], "l array<string>").select(tx.fold_lines(F.col("l")).alias("x")).first()["x"] == want
+
+
+@pytest.mark.parametrize("a,b,want", [("й", "и\u0306", 0.0), ("a  b", "a b", 0.0), ("12.5", "125", 0.25), ("", "x", 1.0), ("naïve", "naive", 0.2)])
+def test_unicode_error_rates(spark, a, b, want):
+    assert one(spark, tx.unicode_error_rate(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(want)
+
+
+def test_rules_on_made_rows(spark, data):
+    from quirefold.plans import rule_queries as rq
+
+    rows = lambda n: sorted(map(tuple, rq.QUERIES[n](spark, data).collect()))
+    assert rows("agg_g19_cell_text") == [(1, 5, "Total (net) with- tax"), (2, 2, "مرحبا بكم"), (3, 2, "合计")]
+    assert rows("win_w6_bands") == [(1, 1, 1, 2, 2), (1, 2, 4, 6, 2)]
+    assert [r for r in rows("text_f35_digit_order") if r[1]] == [(2, 1), (3, 1)]
+    assert [r[1] for r in rows("text_f17_normalised")][:5] == ["2024 г.", "г.", "2019 года", "2024 il", "y."]
+
+
+def test_near_words(spark):
+    from quirefold.operators import lexical as lex
+
+    words = spark.createDataFrame([("создании",), ("организации",), ("республикасының",), ("form",), ("from",)], "word string")
+    t = spark.createDataFrame([("созданин",), ("горганизации",), ("республикаының",), ("создани",), ("fomr",), ("x" * 5000,)], "token string")
+    assert {r["token"]: r["word"] for r in lex.near_known(t, words).collect()} == {"созданин": "создании", "горганизации": "организации", "республикаының": "республикасының", "создани": "создании"}
+    got = {(r["token"], r["word"]): r["cost"] for r in lex.corrections(t, words).collect()}
+    assert got[("fomr", "form")] == 1 and ("fomr", "from") not in got and got[("созданин", "создании")] == 0 and got[("горганизации", "организации")] == 1 and got[("республикаының", "республикасының")] == 2
