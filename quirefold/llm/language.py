@@ -38,6 +38,10 @@ WORD = re.compile(r"[㐀-鿿]+|[^\W\d_㐀-鿿]+(?:[ʻʼ‘’'‌\-][^\W\d_㐀-
 _CLIP, _OTHER = 5.0, -6.0
 
 
+# Mail addresses are in no language.
+_CONTACT = re.compile(r"[A-Z0-9][A-Z0-9._+%\-]*\s?(?:@|\(at\)|\[at\])\s?[A-Z0-9\-]+(?:(?:\.|\s?[\[(]dot[\])]\s?)[A-Z0-9\-]+)*|\bext\b", re.I | re.A)
+
+
 def two_letter(code: str | None) -> str | None:
     """The code of a label in any spelling, None for a missing or unknown one."""
     return CODES.get(re.split(r"[-_]", (c := (code or "").strip().lower()), maxsplit=1)[0]) or CODES.get(c)
@@ -137,6 +141,20 @@ class LanguageModel:
         weight = 1.0 if len(w) > 1 else 0.2
         return tuple(max(-_CLIP, raw[k] - top) * weight if k in raw else _OTHER * weight for k in LANGS)
 
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The scores of all words of the texts one below the other, their letters, and where each text's words begin (one more at the end)."""
+        if len(self.ids) > 1_000_000:
+            self._reset()
+        ids: list[int] = []
+        starts, row_of, sizes = [], self.ids.__getitem__, []
+        for t in texts:
+            starts.append(len(ids))
+            found = WORD.findall(t)
+            ids += map(row_of, found)
+            sizes += map(len, found)
+        rows = np.asarray(self.rows)[np.asarray(ids, dtype=np.int64)] if ids else np.zeros((0, len(LANGS)))
+        return rows, np.asarray(sizes, dtype=float), np.asarray([*starts, len(ids)])
+
     def sums(self, texts: list[str]) -> np.ndarray:
         """Per text, the sum of its words' scores by language."""
         if len(self.ids) > 1_000_000:
@@ -193,6 +211,15 @@ def viterbi(scores: np.ndarray, switch: float) -> list[int]:
     return [names[j] for j in reversed(out)]
 
 
+def spans_of_words(scores: np.ndarray, letters: np.ndarray, switch: float = 6.0) -> np.ndarray:
+    """Letters by language of a row of words, each word labelled by the best path over all of them."""
+    out = np.zeros(len(LANGS))
+    says = scores.any(axis=1)
+    if says.any():
+        np.add.at(out, viterbi(scores[says], switch), letters[says])
+    return out
+
+
 def _confidence(total: np.ndarray, best: int) -> float:
     rest = np.delete(total, best).max() - total[best]
     return round(1.0 / (1.0 + math.exp(min(50.0, rest))), 4)
@@ -250,8 +277,8 @@ def document_languages(docs: DataFrame, model: LanguageModel, switch: float = 6.
 
 
 def word_pages(words: DataFrame, model: LanguageModel, repair: Callable[[str], str]) -> DataFrame:
-    """Per page: its language (the script with most letters, in it the language with most letters of
-    words, then the higher score), confidence, and the languages its words' profiles name; `profiles`
+    """Per page: its language (the script with most letters, in it the language with most letters of words
+    on the best path over the page's words, or over its part where a batch splits a page, then the higher score), confidence, and the languages its words' profiles name; `profiles`
     is empty where every profile is missing. `repair` restores a word before it is scored."""
     shared = words.sparkSession.sparkContext.broadcast((model, repair))
     sums = [f"s_{k}" for k in LANGS] + [f"l_{k}" for k in LANGS]
@@ -259,17 +286,16 @@ def word_pages(words: DataFrame, model: LanguageModel, repair: Callable[[str], s
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, fix = shared.value
         for pdf in batches:
-            texts = [fix(t) for t in pdf["text"].tolist()]
-            s = m.sums(texts)
-            letters = np.asarray([sum(map(len, WORD.findall(t))) for t in texts])
-            out = pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "page": pdf["page"].to_numpy()})
-            best, has = s.argmax(axis=1), s.any(axis=1)
-            for k, lang in enumerate(LANGS):
-                out[f"s_{lang}"] = s[:, k]
-                out[f"l_{lang}"] = np.where(has & (best == k), letters, 0).astype(float)
-            yield out.groupby(["doc_id", "page"], sort=False).sum().reset_index()
-
-    part = spread(words.where(F.col("text").isNotNull()).select("doc_id", "page", "text"), "doc_id", "page").mapInPandas(
+            pdf = pdf.sort_values(["doc_id", "page", "word_no"], kind="stable")
+            rows, letters, at = m.words([fix(t) for t in pdf["text"].tolist()])
+            page = pdf.groupby(["doc_id", "page"], sort=False).size()
+            ends = at[np.cumsum(page.to_numpy())]
+            out = []
+            for (d, p), a, b in zip(page.index, [0, *ends[:-1]], ends):
+                out.append((d, p, *rows[a:b].sum(axis=0), *spans_of_words(rows[a:b], letters[a:b])))
+            yield pd.DataFrame(out, columns=["doc_id", "page", *sums])
+
+    part = spread(words.where(F.col("text").isNotNull()).select("doc_id", "page", "word_no", "text"), "doc_id", "page").mapInPandas(
         score, "doc_id bigint, page int, " + ", ".join(f"{k} double" for k in sums)
     )
     named = words.groupBy("doc_id", "page").agg(F.collect_set("language_profile").alias("profiles"))  # a few codes a page
@@ -308,23 +334,22 @@ def paragraph_cases(paragraphs: DataFrame) -> DataFrame:
 
 
 def paragraph_languages(blocks: DataFrame, model: LanguageModel, repair: Callable[[str], str]) -> DataFrame:
-    """Per text block its language, confidence, letters and characters."""
+    """Per text block the language with most letters on the best path over its words, its confidence and letters."""
     shared = blocks.sparkSession.sparkContext.broadcast((model, repair))
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m, fix = shared.value
         for pdf in batches:
             texts = [" ".join(fix(w) for w in t.split(" ")) for t in pdf["text"].tolist()]
-            sums = m.sums(texts)
-            yield pd.DataFrame(
-                {
-                    "doc_id": pdf["doc_id"], "page": pdf["page"], "block_no": pdf["block_no"],
-                    "letters": [sum(map(len, WORD.findall(t))) for t in texts],
-                    "lang": [LANGS[s.argmax()] if s.any() else None for s in sums],
-                    "margin": [float(np.sort(s)[-1] - np.sort(s)[-2]) if s.any() else 0.0 for s in sums],
-                    "confidence": [_confidence(s, int(s.argmax())) if s.any() else 0.0 for s in sums],
-                }
-            )
+            texts = [_CONTACT.sub(" ", t) if "@" in t or "at)" in t or "at]" in t or "AT" in t else t for t in texts]
+            rows, letters, at = m.words(texts)
+            out = []
+            for d, p, no, a, b in zip(pdf["doc_id"], pdf["page"], pdf["block_no"], at[:-1], at[1:]):
+                own, total = spans_of_words(rows[a:b], letters[a:b]), rows[a:b].sum(axis=0)
+                best = max(range(len(LANGS)), key=lambda k: (own[k], total[k], -k)) if own.any() else None
+                second = np.sort(total)[-2:]
+                out.append((d, p, no, int(letters[a:b].sum()), None if best is None else LANGS[best], float(second[1] - second[0]), 0.0 if best is None else _confidence(total, best)))
+            yield pd.DataFrame(out, columns=["doc_id", "page", "block_no", "letters", "lang", "margin", "confidence"])
 
     return spread(blocks.where(F.col("text").isNotNull()).select("doc_id", "page", "block_no", "text"), "doc_id", "page").mapInPandas(
         label, "doc_id bigint, page int, block_no int, letters int, lang string, margin double, confidence double"

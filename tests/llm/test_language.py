@@ -60,7 +60,7 @@ def test_frames(spark, rows):
     got = {r["doc_id"]: (r["label"], r["main_lang"]) for r in lg.document_languages(docs, model).collect()}
     assert got == {1: (None, "en"), 4: ("ru", "ru")}
     words = spark.createDataFrame(
-        [(1, 0, "records", None), (1, 0, "clerk", None), (1, 1, "архивный", "eng"), (1, 1, "отдел", "eng"), (1, 2, "отдел", "rus+eng"), (1, 3, None, None), (1, 4, "17", None)], "doc_id long, page int, text string, language_profile string"
+        [(1, p, i, *x) for i, (p, *x) in enumerate([(0, "records", None), (0, "clerk", None), (1, "архивный", "eng"), (1, "отдел", "eng"), (2, "отдел", "rus+eng"), (3, None, None), (4, "17", None)])], "doc_id long, page int, word_no int, text string, language_profile string"
     )
     cases = {(r["page"], r["lang"]) for r in lg.page_cases(lg.word_pages(words, model, str)).collect()}
     assert cases == {(0, "en"), (1, "ru"), (3, "ru"), (4, "ru")}  # pages without letters take the language of most pages
@@ -68,3 +68,12 @@ def test_frames(spark, rows):
     assert [(r["block_no"], r["lang"]) for r in lg.paragraph_cases(lg.paragraph_languages(blocks, model, str)).collect()] == [(2, "ru")]
     for f in (lg.document_languages(docs.limit(0), model), lg.page_cases(lg.word_pages(words.limit(0), model, str)), lg.paragraph_cases(lg.paragraph_languages(blocks.limit(0), model, str))):
         assert f.count() == 0
+
+
+def test_words_are_labelled_on_one_path(rows):
+    model = lg.LanguageModel(rows)
+    scores, letters, at = model.words(["The records clerk filed the annex a", "", "Отдел аренды хранит полис"])
+    own = lg.spans_of_words(scores[at[0] : at[1]], letters[at[0] : at[1]])
+    assert own[lg.LANGS.index("en")] == own.sum() == 29  # a lone letter goes with its neighbours
+    assert not lg.spans_of_words(scores[at[1] : at[2]], letters[at[1] : at[2]]).any()
+    assert lg.LANGS[lg.spans_of_words(scores, letters).argmax()] == "en"
