@@ -1,8 +1,8 @@
 """Problem 4: text that looks the same but differs in its characters, brought to one form.
 
-A weighted edit automaton walks tries of the word list: a look-alike letter and an ignorable character
-cost nothing, any other edit costs 1, and the bound is below 1, so a walk ends only at words that look
-the same. Its word is the canonical spelling; of several, the one that changes fewest letters. A token
+A weighted edit automaton walks tries of the word list with the token as it stands: a look-alike letter, a
+compatibility form, another hyphen and an ignorable character are edges that cost nothing, any other edit costs 1, and the bound is
+below 1, so a walk ends only at words that look the same. Its word is the canonical spelling; of several, the one that changes fewest letters. A token
 that no walk ends is normalised by table: invisible characters go, spaces and hyphens become ordinary,
 full-width letters and digits, presentation forms, radicals and ligatures fold, letters compose, and the
 letters of the minority script are replaced by their look-alikes in the majority script.
@@ -48,6 +48,9 @@ _HAN = re.compile(r"[㐀-鿿]")
 _GARBLED = re.compile("[\u0080-\u009f\u00a1-\u00ac\u00ae-\u00ff\ufffd]")
 _HAN_PARTS = re.compile(r"[㐀-鿿]+|[^㐀-鿿]+")
 
+_EDGES = re.compile(r"^([^\w]*)(.*?)([^\w]*)$", re.S)
+_FOLDED = re.compile("[\u2e80-\uffff]")
+
 SAME: dict[str, str] = {}
 for _class in LOOKALIKES:
     for _ch in _class:
@@ -98,7 +101,7 @@ class Lookalikes:
     def walk(self, core: str) -> str | None:
         """The spelling of the vocabulary word that looks like `core`, with its case; None without one."""
         states: list[tuple[dict, int, str]] = [(self.trie, 0, "")]
-        for ch in core:
+        for ch in core if core.isalpha() and not _FOLDED.search(core) else "".join(x if x < "\u2e80" and x not in HYPHENS and x not in "ﬀﬁﬂﬃﬄ" else "-" if x in HYPHENS else _table(x) for x in core):
             if ch in INVISIBLE:
                 continue
             nxt = []
@@ -136,6 +139,14 @@ class Lookalikes:
             out.append(ch)
         return "".join(out)
 
+    def _edge(self, marks: str, core: str) -> str:
+        """The marks beside a word, by table."""
+        if marks.isascii():
+            return marks
+        marks = marks.translate(_STRIP).translate(_HYPHEN).replace(ZWNJ, "")
+        wide = any(ch in _FULL for ch in core) and not _HAN.search(core)
+        return "".join(_FULL_MARKS.get(ch, ch) if wide else _table(ch) for ch in marks)
+
     def _token(self, t: str) -> str:
         """The consistent form of a text without ordinary spaces."""
         if t.isascii():
@@ -143,7 +154,12 @@ class Lookalikes:
         tail = ""
         while t and t[-1] in "\u00ad\u00ac":
             t, tail = t[:-1], t[-1] + tail
-        t = t.translate(_SPACE).strip(" ")
+        t = unicodedata.normalize("NFC", t.translate(_SPACE).strip(" "))
+        left, core, right = _EDGES.match(t).groups()
+        if sum(map(str.isalpha, core)) > 1 and not core.isascii() and (word := self.walk(core)) is not None:  # ignorables and compatibility forms are free edges
+            if word == core and t.isalpha():
+                return t + tail
+            return self._edge(left, core) + word + self._edge(right, core) + tail
         t = t.translate(_STRIP).translate(_HYPHEN)
         if any(ord(ch) > 0x2EFF or ch in "ﬀﬁﬂﬃﬄ" for ch in t):
             wide = any(ch in _FULL for ch in t) and not _HAN.search(t)  # its marks are full-width forms as well
@@ -153,8 +169,7 @@ class Lookalikes:
             return t + tail
         if ZWNJ in t:
             t = re.sub(f"{ZWNJ}(?![؀-ۿ])|(?<![؀-ۿ]){ZWNJ}", "", t)
-        m = re.match(r"^([^\w]*)(.*?)([^\w]*)$", t, re.S)
-        left, core, right = m.groups()
+        left, core, right = _EDGES.match(t).groups()
         if not core:
             return t + tail
         word = core if sum(map(str.isalpha, core)) < 2 else self.walk(core)  # a lone letter has no own script
