@@ -5,8 +5,6 @@ repeated rows count each; unknown codes and scripts have a named default."""
 
 from __future__ import annotations
 
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +13,7 @@ from pyspark.sql import Window
 from quirefold.functions import geometry as g
 from quirefold.functions import text as tx
 from quirefold.operators import lexical as lex
-from quirefold.session import shared_dir
+from quirefold.session import work_path
 
 PAGE = ["doc_id", "page"]
 
@@ -105,13 +103,9 @@ def settings(options: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- sinks
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quirefold/{name}-{uuid.uuid4().hex}"
-
-
 def refusals(journal: DataFrame, path: str | None = None) -> DataFrame:
     """Writes the refused rows as JSON, partitioned by code, and reads them back. The reason defaults to the code."""
-    path = path or _folder(journal.sparkSession, "refused")
+    path = path or work_path(journal.sparkSession, "refused")
     code = F.coalesce("code", F.lit("(none)"))
     rows = journal.where("outcome = 'refused'").select("file", "time", code.alias("code"), F.coalesce("reason", code).alias("reason"), "message", "details")
     rows.write.mode("overwrite").partitionBy("code").json(path)
@@ -120,7 +114,7 @@ def refusals(journal: DataFrame, path: str | None = None) -> DataFrame:
 
 def benchmark_runs(runs: DataFrame, path: str | None = None) -> DataFrame:
     """Writes runs as JSON lines and reads them back."""
-    path = path or _folder(runs.sparkSession, "runs")
+    path = path or work_path(runs.sparkSession, "runs")
     runs.write.mode("overwrite").json(path)
     return runs.sparkSession.read.schema(runs.schema).json(path)
 

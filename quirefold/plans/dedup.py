@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirefold.operators.once import SeenLedger, distinct_messages, repeated, with_identity
-from quirefold.session import shared_dir, table
+from quirefold.session import table, work_path
 
 
 def _ledger(spark: SparkSession) -> SeenLedger:
-    return SeenLedger(spark, f"{shared_dir(spark)}/quirefold/ledger-{uuid.uuid4().hex}")
+    return SeenLedger(spark, work_path(spark, "ledger"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,10 +74,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_scopes: list[str] = []
+_cleared: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session is gone; the folder is named after the application and can be removed by hand
+        pass
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table in the shared folder, below the application's own folder, which is removed
+    when the driver ends, or below that of the innermost open workspace()."""
+    root = f"{shared_dir(spark)}/quirefold/{spark.sparkContext.applicationId}"
+    if root not in _cleared:
+        _cleared.add(root)
+        atexit.register(_delete, spark, root)
+    return f"{_scopes[-1] if _scopes else root}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside are removed at the end: read or write the results before it closes."""
+    path = work_path(spark, "workspace")
+    _scopes.append(path)
+    try:
+        yield path
+    finally:
+        _scopes.remove(path)
+        _delete(spark, path)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes `df` once to the shared folder and reads it back: the lineage ends there, so a lost
     executor costs a read and not the work before it, and later branches share one computation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quirefold/{name}-{uuid.uuid4().hex}"
+    path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

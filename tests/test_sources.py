@@ -136,3 +136,16 @@ def test_state_over_pages(spark, tmp_path):
     s = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     sj.page_hints(s).writeStream.outputMode("update").format("memory").queryName("hints").trigger(availableNow=True).start().awaitTermination()
     assert {r["doc_id"]: r["latin_share"] for r in spark.table("hints").collect()} == {1: 0.5, 2: 1.0}
+
+
+def test_workspace_removes_what_was_staged(spark):
+    from pathlib import Path
+
+    from quirefold.session import staged, workspace
+
+    with workspace(spark) as path:
+        assert staged(spark.range(3), "x").count() == 3
+        at = Path(path.removeprefix("file://"))
+        assert any(at.iterdir())
+    assert not at.exists()
+    assert staged(spark.range(2), "y").count() == 2
