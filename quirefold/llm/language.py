@@ -108,6 +108,7 @@ class LanguageModel:
 
     def _reset(self) -> None:
         self.rows: list[tuple[float, ...]] = []
+        self.short: dict[str, tuple[list[int], list[int]]] = {}  # rows and letters of the words of short texts
         self.ids = _Ids(self)
 
     def __getstate__(self):
@@ -143,15 +144,21 @@ class LanguageModel:
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The scores of all words of the texts one below the other, their letters, and where each text's words begin (one more at the end)."""
-        if len(self.ids) > 1_000_000:
+        if len(self.ids) > 1_000_000 or len(self.rows) > 3_000_000:
             self._reset()
         ids: list[int] = []
         starts, row_of, sizes = [], self.ids.__getitem__, []
+        short = self.short
         for t in texts:
             starts.append(len(ids))
-            found = WORD.findall(t)
-            ids += map(row_of, found)
-            sizes += map(len, found)
+            got = short.get(t)
+            if got is None:
+                found = WORD.findall(t)
+                got = [*map(row_of, found)], [*map(len, found)]
+                if len(t) < 24 and len(short) < 500_000:
+                    short[t] = got
+            ids += got[0]
+            sizes += got[1]
         rows = np.asarray(self.rows)[np.asarray(ids, dtype=np.int64)] if ids else np.zeros((0, len(LANGS)))
         return rows, np.asarray(sizes, dtype=float), np.asarray([*starts, len(ids)])
 

@@ -166,7 +166,16 @@ def _paragraph(t: str, a: int, b: int, out: list[tuple[int, int]]) -> None:
             cost += torn[k][1]
             k += 1
         if m_end < b:
-            _step(ends, back, active, m_end, gain - 2 * cost)
+            gain -= 2 * cost
+            first = active[0][0]
+            if gain < -8 and m_end - first < 6000:
+                continue  # no start is so far away that the length term could make up for it
+            if len(active) == 1 and gain >= _BOUNDARY and m_end - first <= _LONG:
+                ends.append(m_end)  # nor so near that another start could still win; with one start left the score is no matter
+                back.append(active[0][2])
+                active[0] = (m_end, 0.0, len(ends) - 1)
+                continue
+            _step(ends, back, active, m_end, gain)
     if b > a:
         _step(ends, back, active, b, 1e9)
     cuts, j = [], len(ends) - 1
