@@ -12,7 +12,7 @@ from pyspark.sql import Window
 
 from quirefold.functions.geometry import height
 from quirefold.functions.text import count_of
-from quirefold.operators.layout import PAGE, with_line
+from quirefold.operators.layout import PAGE, by_page, with_line
 from quirefold.operators.lexical import corrections, token, word_list
 
 # Shapes that option labels of Cyrillic lists take, and letters that pass for a bullet.
@@ -122,23 +122,32 @@ def restored(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return best.select(*PAGE, "word_no", "text", case_like(F.col("b.to"), F.col("text")).alias("restored"), F.col("b.score").alias("score"), F.col("b.how").alias("how"))
 
 
+def _labels_of_page(rows: list[tuple], gap: float) -> list[tuple]:
+    """The rows (doc_id, page, x0, y0, id, x1, y1), sorted by x0, with the least id of their group: a sweep over x
+    keeps the boxes that may still be near, a forest joins those that are."""
+    parent = list(range(len(rows)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    open_: list[int] = []
+    for i, (_, _, x0, y0, _, _, y1) in enumerate(rows):
+        open_ = [j for j in open_ if rows[j][5] >= x0 - gap]
+        for j in open_:
+            if min(y1, rows[j][6]) - max(y0, rows[j][3]) >= -gap:
+                parent[root(i)] = root(j)
+        open_.append(i)
+    least: dict[int, int] = {}
+    for i, r in enumerate(rows):
+        k = root(i)
+        least[k] = min(least.get(k, r[4]), r[4])
+    return [(r[0], r[1], r[4], least[root(i)]) for i, r in enumerate(rows)]
+
+
 def merged_boxes(boxes: DataFrame, gap: float = 6.0) -> DataFrame:
-    """Boxes of a page with the least id of those they are connected to by nearness: labels spread along
-    near pairs, which stay inside pages, until a round changes none."""
-    from quirefold.session import staged
-
-    b = staged(boxes.select(*PAGE, "id", "x0", "y0", "x1", "y1"), "boxes")
-    o = b.select(*[F.col(c).alias(f"o_{c}") for c in b.columns])
-    near = (
-        (F.col("doc_id") == F.col("o_doc_id")) & (F.col("page") == F.col("o_page"))
-        & (F.least("x1", "o_x1") - F.greatest("x0", "o_x0") >= -gap) & (F.least("y1", "o_y1") - F.greatest("y0", "o_y0") >= -gap)
-    )
-    edges = staged(b.join(o, near).select(*PAGE, "id", F.col("o_id").alias("other")), "box-edges")
-    labels = staged(b.select(*PAGE, "id", F.col("id").alias("label")), "box-labels")
-    while True:
-        far = labels.select(*PAGE, F.col("id").alias("other"), F.col("label").alias("l"))
-        new = staged(edges.join(far, [*PAGE, "other"]).groupBy(*PAGE, "id").agg(F.min("l").alias("label")), "box-labels")
-        changed = new.join(labels.select(*PAGE, "id", F.col("label").alias("old")), [*PAGE, "id"]).where("label <> old").limit(1).count()
-        labels = new
-        if not changed:
-            return labels
+    """Boxes of a page with the least id of those they are connected to by nearness. Groups never leave their page, so one pass over
+    hashed pages does. Boxes with a null corner are left out."""
+    b = boxes.select(*PAGE, "x0", "y0", "id", "x1", "y1").where("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
+    return by_page(b, ["x0", "y0"], lambda rows: _labels_of_page(rows, gap), "doc_id bigint, page int, id bigint, label bigint")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from quirefold.functions import geometry as g
 from quirefold.operators.once import canonical_path, instant_micros
-from quirefold.session import shared_dir, table
+from quirefold.session import work_path, table
 from quirefold.sources.docx import packages
 from quirefold.sources.files import admitted, target_name
 from quirefold.streaming.journal import arrivals_per_window, read_stream
@@ -183,21 +182,18 @@ def agg_g27_first_last(spark, d):
 def stream_t1_arrivals(spark, d):
     """Arrivals per hour and outcome by a structured stream over the delivered files, read to its end.
     The result has one row per hour and outcome."""
-    name = f"arrivals_{uuid.uuid4().hex}"
     schema = table(spark, d, "journal").schema
     fields = [f for f in schema if f.name in ("received_at", "outcome", "seconds")]
     stream = read_stream(spark, f"{d}/journal.parque[t]", schema).select(*[f.name for f in fields]).withColumn("received_at", F.col("received_at").cast("timestamp"))
-    q = (
-        arrivals_per_window(stream)
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", f"{shared_dir(spark)}/quirefold/{name}")
-        .trigger(availableNow=True)
-        .start()
-    )
+    path = work_path(spark, "arrivals")
+
+    def keep(batch, _):
+        batch.write.mode("overwrite").parquet(f"{path}/result")  # complete mode: each batch holds all windows so far
+
+    q = arrivals_per_window(stream).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "outcome", "n", g.rounded(F.col("seconds"), 2).alias("seconds"))
+    done = spark.read.schema("start timestamp, outcome string, n bigint, seconds double").parquet(f"{path}/result")
+    return done.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "outcome", "n", g.rounded(F.col("seconds"), 2).alias("seconds"))
 
 
 @query(
