@@ -103,23 +103,78 @@ def halves(words: DataFrame) -> DataFrame:
     return w.where((F.col("alternative") != "") & (F.concat("text", "after") == F.col("alternative"))).select(*PAGE, "word_no", "after_no", F.col("alternative").alias("joined"))
 
 
+# Equal glyphs of the two alphabets, and the least likeness of a candidate and a reading.
+TO_CYRILLIC, TO_LATIN, SIMILAR = ("ABCEHKMOPTXYaceopxy", "АВСЕНКМОРТХУасеорху"), ("АВСЕНКМОРТХУасеорху", "ABCEHKMOPTXYaceopxy"), 0.6
+
+
+def _script_of(text: Column) -> Column:
+    c, l = count_of(text, r"\p{IsCyrillic}"), count_of(text, r"\p{IsLatin}")
+    return F.when((c > 0) & (l > 0), "mixed").when(c > 0, "Cyrillic").when(l > 0, "Latin")
+
+
+def _closest(df: DataFrame) -> DataFrame:
+    """Adds `close`: the greater likeness of `to` with the core and with the second reading."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", close double"
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        same = str.maketrans(*TO_CYRILLIC)  # equal glyphs are alike
+        like = lambda a, b: difflib.SequenceMatcher(None, a.translate(same).lower(), b.translate(same).lower()).ratio() if a and b else 0.0
+        for pdf in batches:
+            yield pdf.assign(close=pd.Series([max(like(t, c), like(t, o)) for t, c, o in zip(pdf["to"], pdf["part"], pdf["other"])], dtype=float, index=pdf.index))
+
+    return df.mapInPandas(add, schema)
+
+
 def restored(words: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Unknown words with their best restoration: a listed second reading, else the best listed word one
-    edit away; more for words that the page uses, less by rank. A word no candidate fits has no row."""
+    """Unlisted words with their best restoration: doc_id, page, word_no, text, restored, score, how.
+
+    Readings are the word (2), its second reading (1) and either in the look-alikes of its line's alphabet (.2 less). A reading that is a
+    word scores 10, in the line's alphabet without being listed 7, a list word one slip away 6 less half its rank plus half the
+    reading's weight; 3 more for a word the page uses, twice the likeness with the readings (at least SIMILAR), and once more 3 for the
+    page's use. Capitalised words may be names: only words the page uses replace them. A cut-off form is no candidate. Parts between hyphens are restored
+    one by one and count only if all are words. A word no candidate fits, or whose own reading is the best, has no row."""
     listed = word_list(lexicon)
-    w = words.where("text is not null").withColumns({"token": token(F.col("text")), "second": token(F.coalesce("alternative", F.lit("")))})
-    unknown = w.where(F.length("token") >= 3).join(listed, F.col("token") == F.col("word"), "left_anti").where(~F.col("token").rlike(r"\p{Nd}|@"))
-    second = unknown.where("second <> '' and second <> token").join(listed, F.col("second") == F.col("word")).select(
-        *PAGE, "word_no", "text", "token", F.col("second").alias("to"), F.lit(10.0).alias("score"), F.lit("second reading").alias("how")
-    )
-    ranked = corrections(unknown.select("token").distinct(), listed, limit=8).select(F.col("token").alias("t"), F.col("word").alias("to"), "place")
-    near = unknown.join(ranked, F.col("token") == F.col("t"))
-    used = w.where("confidence >= 0.8").select(*PAGE, F.col("token").alias("to")).distinct().withColumn("used", F.lit(3.0))
-    near = near.join(used, [*PAGE, "to"], "left").select(
-        *PAGE, "word_no", "text", "token", "to", (6.0 - 0.5 * (F.col("place") - 1) + F.coalesce("used", F.lit(0.0))).alias("score"), F.lit("word list").alias("how")
-    )
-    best = second.unionByName(near).groupBy(*PAGE, "word_no", "text").agg(F.max(F.struct("score", (F.lit(0) - F.length("to")).alias("k"), "to", "how")).alias("b"))
-    return best.select(*PAGE, "word_no", "text", case_like(F.col("b.to"), F.col("text")).alias("restored"), F.col("b.score").alias("score"), F.col("b.how").alias("how"))
+    core = lambda c: F.regexp_extract(c, r"^[^\p{L}\p{N}]*(.*?)[^\p{L}\p{N}]*$", 1)
+    line = Window.partitionBy(*PAGE, "line_key")
+    w = with_line(words.where("text is not null")).withColumns({"core": core(F.col("text")), "second": core(F.coalesce("alternative", F.lit(""))), "token": token(F.col("text"))})
+    c, l = F.sum(count_of(F.col("text"), r"\p{IsCyrillic}")).over(line), F.sum(count_of(F.col("text"), r"\p{IsLatin}")).over(line)
+    w = w.withColumn("line_script", F.when(c + l >= 3, F.when(c > l, "Cyrillic").when(l > c, "Latin")))
+    used = w.where("confidence >= 0.8 and not isnan(confidence)").select(*PAGE, F.col("token").alias("k")).distinct()
+    used = used.join(listed, F.col("k") == F.col("word"), "left_semi").withColumn("used", F.lit(True))  # misreadings of the page are no words of it
+    bad = w.where((F.length("core") >= 2) & ~F.col("core").rlike(r"\p{Nd}|@")).join(listed, F.col("token") == F.col("word"), "left_anti")
+    parts = bad.select(*PAGE, "word_no", "text", "core", "line_script", F.size(F.split("core", "-")).alias("n"), F.col("second").alias("other"), F.posexplode(F.split("core", "-")).alias("no", "part"))
+    other = F.when((F.col("n") == 1) & (F.col("other") != F.col("core")) & ~F.col("other").rlike(r"\p{Nd}"), F.col("other")).otherwise("")
+    parts = parts.withColumn("other", other)
+    as_line = lambda r: F.when(F.col("line_script") == "Cyrillic", F.translate(r, *TO_CYRILLIC)).when(F.col("line_script") == "Latin", F.translate(r, *TO_LATIN))
+    row = lambda r, weight, how: F.struct(r.alias("reading"), F.lit(weight).alias("weight"), F.lit(how).alias("how"))
+    alphabet = [row(as_line(r), x - 0.2, "alphabet") for r, x in ((F.col("part"), 2.0), (F.col("other"), 1.0))]
+    own = [row(F.col("part"), 2.0, "reading"), row(F.col("other"), 1.0, "second reading")]
+    read = parts.select("*", F.explode(F.array(*own, *alphabet)).alias("r")).select(*parts.columns, "r.*").where("reading <> ''")
+    read = read.where((F.col("how") != "alphabet") | ~F.lower("reading").isin(F.lower("part"), F.lower("other")))
+    script = _script_of(F.col("reading"))
+    read = read.where((F.coalesce(script, F.lit("")) != "mixed") & (F.col("line_script").isNull() | script.isNull() | (script == F.col("line_script"))))
+    low = F.lower("reading")
+    read = read.join(listed.select(F.col("word").alias("is"), F.lit(True).alias("known")), low == F.col("is"), "left").drop("is")
+    cols = [*parts.columns, "reading", "weight", "how", "to", "base"]
+    self_ = read.withColumns({"to": F.col("reading"), "base": F.when(F.col("known"), 10.0).when((F.col("how") == "alphabet") & (F.length("reading") >= 3), 7.0) + F.col("weight")}).where("base is not null").select(*cols)
+    ranked = corrections(read.where("known is null").select(F.lower("reading").alias("token")).distinct(), listed, limit=8).select(F.col("token").alias("t"), F.col("word").alias("to"), "place")
+    near = read.where("known is null").join(ranked, low == F.col("t")).where(((F.length("reading") > 2) | (F.length("to") == F.length("reading"))) & ~F.startswith(low, F.col("to")))
+    near = near.withColumns({"base": 6.0 - 0.5 * (F.col("place") - 1) + 0.5 * F.col("weight"), "how": F.lit("word list")}).select(*cols)
+    cand = self_.unionByName(near).withColumn("k", F.lower("to")).join(used, [*PAGE, "k"], "left").drop("k")
+    in_use = F.coalesce("used", F.lit(False))
+    proper = F.col("core").rlike(r"^\p{Lu}")
+    cut = (F.length("to") < F.length("part")) & F.startswith(F.lower("part"), F.lower("to"))
+    cand = _closest(cand.where(~cut & (~proper | in_use | (F.col("how") == "alphabet") | (F.col("to") == F.col("part"))))).where(F.col("close") >= SIMILAR)
+    score = F.col("base") + 2 * F.col("close") + F.when(F.coalesce("used", F.lit(False)), 6.0).otherwise(0.0)
+    best = cand.withColumn("score", score).groupBy(*PAGE, "word_no", "no").agg(F.max(F.struct("score", (F.lit(0) - F.length("to")).alias("k"), "to", "how")).alias("b"))
+    done = parts.join(best, [*PAGE, "word_no", "no"], "left").join(listed.select(F.col("word").alias("is"), F.lit(True).alias("known")), F.lower("part") == F.col("is"), "left")
+    fine = F.col("b").isNotNull() | (F.length("part") < 3) | F.coalesce("known", F.lit(False))
+    piece = F.when(F.col("known") | F.col("b").isNull(), F.col("part")).otherwise(case_like(F.col("b.to"), F.col("part")))
+    whole = done.groupBy(*PAGE, "word_no", "text", "core").agg(
+        F.every(fine).alias("fine"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", piece.alias("p")))), lambda x: x["p"]), "-").alias("new"), F.min("b.score").alias("score"), F.max_by("b.how", "b.score").alias("how")
+    )  # the parts of one word
+    new = F.replace("text", F.col("core"), F.col("new"))
+    return whole.where(F.col("fine") & (F.col("new") != F.col("core"))).select(*PAGE, "word_no", "text", new.alias("restored"), "score", "how")
 
 
 def _labels_of_page(rows: list[tuple], gap: float) -> list[tuple]:

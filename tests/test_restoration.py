@@ -31,9 +31,21 @@ def test_similarity_spellings_halves(spark):
 
 
 def test_restored(spark):
-    lex = spark.createDataFrame([("office",), ("lease",), ("page",)], "word string")
-    w = words(spark, [("Officc", None, 0, 9, 0), ("leose", "lease", 10, 19, 0), ("page", "poge", 20, 29, 0), ("zzzz", None, 30, 39, 0), ("12a4", None, 40, 49, 0)])
-    assert {r["text"]: (r["restored"], r["how"]) for r in rs.restored(w, lex).collect()} == {"Officc": ("Office", "word list"), "leose": ("lease", "second reading")}
+    rows = [
+        ("Officc", "Officc"), ("office", "office"), ("leose", "lease"), ("zzzzq", "qqqqz"), ("Velmore", "Velmora"), ("well-knovn", "well-knovn"), ("xx-knovn", None), ("(offlce),", None), ("leas", None), ("known", None), (None, "x"), ("17", None),
+    ]
+    cyr = [("Договор", None), ("закрыт", None), ("CОТА", None), ("COTA", None)]
+    w = spark.createDataFrame(
+        [(1, 0, i, t, a, [1, 0], 0.9, 0.0, 0.0, 9.0, 9.0) for i, (t, a) in enumerate(rows)] + [(1, 1, i, t, a, [1, 1], 0.9, 0.0, 0.0, 9.0, 9.0) for i, (t, a) in enumerate(cyr)],
+        "doc_id long, page int, word_no int, text string, alternative string, line_id array<int>, confidence double, x0 double, y0 double, x1 double, y1 double",
+    )
+    lex = spark.createDataFrame([("en", x, "base") for x in ("office", "lease", "well", "known", "сота", "договор", "закрыт")], "lang string, word string, source string")
+    got = {r["text"]: (r["restored"], r["how"]) for r in rs.restored(w, lex).collect()}
+    assert got == {
+        "Officc": ("Office", "word list"), "leose": ("lease", "second reading"), "well-knovn": ("well-known", "word list"), "xx-knovn": ("xx-known", "word list"), "(offlce),": ("(office),", "word list"), "leas": ("lease", "word list"),
+        "CОТА": ("СОТА", "alphabet"), "COTA": ("СОТА", "alphabet"),
+    }
+    assert rs.restored(w.limit(0), lex).count() == 0
 
 
 @pytest.mark.parametrize("word,model,want", [("office", "OFFICC", "OFFICE"), ("office", "Officc", "Office"), ("office", "officc", "office"), ("a", "B", "A")])
