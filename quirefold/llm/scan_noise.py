@@ -21,7 +21,7 @@ Defined results: only pages whose plan routes them to OCR count; null text has n
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -149,12 +149,19 @@ class Reader:
                             yield ch, r, i
 
 
-_SCHEMA = "src string, doc_id bigint, page int, item_no int, mode string, core string, whole string, half int, other_no int, a int, b int"
+_SCHEMA = "src string, doc_id bigint, page int, item_no int, mode string, core string, whole string, half int, other_no int, a int, b int, n bigint"
+
+
+def _known(seen: Counter) -> Iterator[tuple]:
+    """Listed words of a batch: they are never corrected, so only their counts go on."""
+    for core, n in seen.items():
+        yield "", -1, -1, -1, "known", core, None, None, None, None, None, n
 
 
 def _rows_of_words(r: Reader, pdf: pd.DataFrame) -> Iterator[tuple]:
+    known: Counter = Counter()
     for d, p, no, t, nt, broken, alt, before in pdf[["doc_id", "page", "word_no", "text", "next_text", "line_break", "alternative", "text_before"]].itertuples(index=False):
-        row = lambda mode, core, whole=None, half=None, other=None: ("words", d, p, no, mode, core, whole, half, other, None, None)
+        row = lambda mode, core, whole=None, half=None, other=None: ("words", d, p, no, mode, core, whole, half, other, None, None, 1)
         if broken and len(t) > 1 and t[-1] in HYPHEN_MARKS and t[-2].isalpha() and nt and nt[0].isalpha():
             a, b = r.core(t[:-1]), r.core(nt)
             if a and b:
@@ -173,18 +180,23 @@ def _rows_of_words(r: Reader, pdf: pd.DataFrame) -> Iterator[tuple]:
             for run in _HAN_RUN.findall(c):
                 for ch, x, _ in r.han(run):
                     yield row("han" if x is None else "han_pair", ch, x)
-        yield row("word", c)
+        if c in r.listed:
+            known[c] += 1
+        else:
+            yield row("word", c)
         if r.odd(t):
             yield row("odd", c)
         if alt and alt != t and not r.known(c):
             k = r.core(alt)
             if k and k != c and r.known(k) and abs(len(k) - len(c)) < 3:
                 yield row("second", c, k)
+    yield from _known(known)
 
 
 def _rows_of_blocks(r: Reader, pdf: pd.DataFrame) -> Iterator[tuple]:
+    known: Counter = Counter()
     for d, p, no, t in pdf[["doc_id", "page", "block_no", "text"]].itertuples(index=False):
-        row = lambda mode, core, a, b, whole=None, half=None: ("blocks", d, p, no, mode, core, whole, half, None, a, b)
+        row = lambda mode, core, a, b, whole=None, half=None: ("blocks", d, p, no, mode, core, whole, half, None, a, b, 1)
         gone: list[tuple[int, int]] = []
         for m in _BREAK.finditer(t):
             b = _TOKEN.match(t, m.end())
@@ -216,9 +228,13 @@ def _rows_of_blocks(r: Reader, pdf: pd.DataFrame) -> Iterator[tuple]:
                         at = m.start() + run.start() + i
                         yield row("han" if x is None else "han_pair", ch, at, at + 1, x)
                 continue
-            yield row("word", c, *m.span())
+            if c in r.listed:
+                known[c] += 1
+            else:
+                yield row("word", c, *m.span())
             if r.odd(m[0]):
                 yield row("odd", c, *m.span())
+    yield from _known(known)
 
 
 def _mapper(shared, rows_of):
@@ -249,7 +265,7 @@ def _ocr_pages(plan: DataFrame) -> DataFrame:
 
 
 def scan_tokens(words: DataFrame, blocks: DataFrame, plan: DataFrame, looks: Lookalikes, garbling: Garbling, lexicon: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Every token of the words and block texts of pages read by OCR, with the candidates of breaks and odd
+    """The unlisted tokens of the words and block texts of pages read by OCR, the counts of the listed ones, and the candidates of breaks and odd
     characters; and the counts of the tokens of all other pages (core, n), whose spellings are only read once each."""
     shared = words.sparkSession.sparkContext.broadcast((looks, garbling, lexicon))
     pages = _ocr_pages(plan)
@@ -275,7 +291,7 @@ def scan_tokens(words: DataFrame, blocks: DataFrame, plan: DataFrame, looks: Loo
 def misreadings(tokens: DataFrame, native: DataFrame, lexicon: DataFrame) -> DataFrame:
     """core, its correction: rare words joined with confusable frequent or listed ones."""
     spark = tokens.sparkSession
-    scanned = tokens.where("mode in ('word', 'join', 'mark', 'inner')").groupBy("core").agg(F.count("*").alias("n"), F.count_if(F.col("mode") == "word").alias("n_word"), F.lit(False).alias("native"))
+    scanned = tokens.where("mode in ('word', 'known', 'join', 'mark', 'inner')").groupBy("core").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("mode").isin("word", "known"), F.col("n")).otherwise(0)).alias("n_word"), F.lit(False).alias("native"))
     count = scanned.unionByName(native.select("core", "n", F.col("n").alias("n_word"), F.lit(True).alias("native"))).groupBy("core").agg(F.sum("n").alias("n"), F.sum("n_word").alias("n_word"), F.bool_or("native").alias("native"))
     listed = lexicon.where(F.col("word").isNotNull()).select(F.lower("word").alias("core")).distinct().withColumn("listed", F.lit(True))
     vocab = (
