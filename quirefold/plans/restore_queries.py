@@ -45,10 +45,11 @@ def text_f10_similarity(spark, d):
 @query(
     "text_f15_case_like",
     """SELECT doc_id, page, word_no, CASE WHEN upper(text) = text AND length(regexp_replace(text, '\\P{L}', '', 'g')) > 1 THEN upper(alternative)
-      WHEN regexp_matches(text, '^\\p{Lu}') THEN upper(substr(alternative, 1, 1)) || substr(alternative, 2) ELSE alternative END AS moved FROM words WHERE alternative <> '' AND regexp_matches(text, '^[\\x20-\\x7e]+$') AND regexp_matches(alternative, '^[\\x20-\\x7e]+$')""",
+      WHEN regexp_matches(text, '^\\p{Lu}') THEN upper(substr(alternative, 1, 1)) || substr(alternative, 2) ELSE alternative END AS moved FROM words WHERE alternative <> '' AND text IS NOT NULL""",
 )
 def text_f15_case_like(spark, d):
-    w = table(spark, d, "words").where(F.col("alternative").rlike(r"^[\x20-\x7e]+$") & F.col("text").rlike(r"^[\x20-\x7e]+$"))
+    """Second readings in the case of the word."""
+    w = table(spark, d, "words").where("alternative <> '' and text is not null")
     return w.select(*PAGE, "word_no", rs.case_like(F.col("alternative"), F.col("text")).alias("moved"))
 
 

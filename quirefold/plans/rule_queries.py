@@ -12,7 +12,7 @@ from quirefold.functions import text as tx
 from quirefold.operators import lexical as lex
 from quirefold.operators import rules as ru
 from quirefold.plans.made import PLAN_TOO, WORDS_TOO, plan_too, words_too
-from quirefold.plans.text_queries import LIST, NATIONAL, TOK, R
+from quirefold.plans.text_queries import LIST, NATIONAL, TOK, R, edit_distance
 from quirefold.session import table
 
 PAGE = ["doc_id", "page"]
@@ -392,11 +392,18 @@ def sort_o8_repair_pages(spark, d):
     return w.groupBy(*PAGE).agg(F.count("*").alias("n")).where("n <= 30")
 
 
-@query("text_f9_unicode_error_rates")
+_ONE = lambda c: f"trim(regexp_replace(nfc_normalize({c}), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+
+@query(
+    "text_f9_unicode_error_rates",
+    f"""WITH p AS (SELECT doc_id, page, word_no, {_ONE('alternative')} AS e, {_ONE('text')} AS a FROM words WHERE text IS NOT NULL AND alternative <> '')
+      SELECT doc_id, page, word_no, {R(f"({edit_distance('e', 'a')}) / greatest(1, length(e))")} AS rate FROM p""",
+)
 def text_f9_unicode_error_rates(spark, d):
-    """Error rates of second readings over composed text with marks and digits (rows only: the check engine counts bytes)."""
+    """Error rates of second readings over composed text with marks and digits."""
     w = table(spark, d, "words").where("text is not null and alternative <> ''")
-    return w.select(*PAGE, "word_no", tx.unicode_error_rate(F.col("alternative"), F.col("text")).alias("rate"))
+    return w.select(*PAGE, "word_no", g.rounded(tx.unicode_error_rate(F.col("alternative"), F.col("text"))).alias("rate"))
 
 
 # ---------------------------------------------------------------- pictures, columns, tables on literal geometry

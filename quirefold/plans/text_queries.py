@@ -126,23 +126,21 @@ def text_f4_collapsed(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.length(t).alias("n_before"), F.length(tx.collapsed(t)).alias("n_after"))
 
 
+def edit_distance(e: str, a: str) -> str:
+    """The edit distance of two texts in characters (the check engine's own counts bytes): one row of the table per
+    character of the first, folded over the characters of the second."""
+    step = "least(acc[j[1]] + 1, r[j[1] + 1] + 1, r[j[1]] + CASE WHEN unicode(substr({a}, j[1], 1)) = x[1] THEN 0 ELSE 1 END)".format(a=a)
+    row = f"list_reduce(list_transform(range(1, length({a}) + 1), lambda k: [k::INTEGER]), lambda acc, j: list_append(acc, {step}), [r[1] + 1])"
+    return f"""CASE WHEN {e} = '' THEN length({a}) ELSE list_reduce(list_transform(range(1, length({e}) + 1), lambda k: [unicode(substr({e}, k, 1))]), lambda r, x: {row}, range(0, length({a}) + 1)::INTEGER[])[length({a}) + 1] END"""
+
+
 @query(
     "text_f8_error_rates",
-    f"""WITH p AS (SELECT doc_id, page, word_no, lower(regexp_replace(text, '[^a-zA-Z0-9]', '', 'g')) AS a, lower(regexp_replace(alternative, '[^a-zA-Z0-9]', '', 'g')) AS b
-        FROM words WHERE alternative IS NOT NULL AND regexp_matches(text, '^[\\x20-\\x7e]+$') AND regexp_matches(alternative, '^[\\x20-\\x7e]*$'))
-      SELECT doc_id, page, word_no, {R("levenshtein(a, b) / greatest(1, length(a))")} AS rate FROM p""",
+    f"""WITH p AS (SELECT doc_id, page, word_no, lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS e, lower(regexp_replace(alternative, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS a FROM words WHERE alternative IS NOT NULL)
+      SELECT doc_id, page, word_no, {R(f"({edit_distance('e', 'a')}) / greatest(1, length(e))")} AS rate FROM p""",
 )
 def text_f8_error_rates(spark, d):
-    """Edits per character between a word and its second reading (ASCII words: the check engine counts bytes;
-    `text_f8_all_error_rates` has every pair)."""
-    w = table(spark, d, "words").where(F.col("alternative").isNotNull() & F.col("text").rlike(r"^[\x20-\x7e]+$") & F.col("alternative").rlike(r"^[\x20-\x7e]*$"))
-    return w.select(*PAGE, "word_no", g.rounded(tx.error_rate(F.col("text"), F.col("alternative"))).alias("rate"))
-
-
-@query("text_f8_all_error_rates")
-def text_f8_all_error_rates(spark, d):
-    """Edits per character between a word and its second reading, in every script (rows only: the check engine's
-    edit distance counts bytes). A word without text has no rate."""
+    """Edits per character between a word and its second reading, in every script. A word without text has no rate."""
     w = table(spark, d, "words").where(F.col("alternative").isNotNull())
     return w.select(*PAGE, "word_no", g.rounded(tx.error_rate(F.col("text"), F.col("alternative"))).alias("rate"))
 
@@ -191,27 +189,28 @@ def lex_l1_known_tokens(spark, d):
     return lex.known(lex.token_counts(table(spark, d, "words")), lex.word_list(table(spark, d, "lexicon"))).select("token", "n", "known")
 
 
-@query("lex_l5_corrections")
-def lex_l5_corrections(spark, d):
-    """Ranked corrections of unknown tokens (rows only: the check engine's edit distance counts bytes)."""
-    words = lex.word_list(table(spark, d, "lexicon"))
-    t = lex.known(lex.token_counts(table(spark, d, "words")), words).where("not known")
-    return lex.corrections(t.select("token"), words)
+_CUT = "list_distinct(list_append(list_transform(range(1, length({0}) + 1), lambda k: substr({0}, 1, k - 1) || substr({0}, k + 1)), {0}))"
+_ALIKE = ", ".join(f"'{x}'" for p in lex.LOOKALIKE_PAIRS for x in (p, p[::-1]))
 
 
 @query(
-    "lex_l5_ascii_corrections",
-    f"""WITH {TOKENS}, {LIST}, u AS (SELECT token FROM tokens WHERE regexp_matches(token, '^[a-z]{{2,}}$') AND token NOT IN (SELECT word FROM list)),
-      w AS (SELECT word FROM list WHERE regexp_matches(word, '^[a-z]{{2,}}$')),
-      p AS (SELECT token, word, CASE WHEN length(token) > length(word) THEN 1 WHEN length(token) < length(word) THEN 2 WHEN levenshtein(token, word) = 2 THEN 1
-          WHEN EXISTS (SELECT 1 FROM unnest(range(1, length(token) + 1)) AS i(i) WHERE substr(token, i, 1) || substr(word, i, 1) IN ('il', 'li', 'ce', 'ec')) THEN 0 ELSE 2 END AS cost
-        FROM u JOIN w ON abs(length(token) - length(word)) <= 1 AND damerau_levenshtein(token, word) = 1),
-      r AS (SELECT *, row_number() OVER (PARTITION BY token ORDER BY cost, word) AS place FROM p) SELECT token, word, cost, place::INT AS place FROM r WHERE place <= 12""",
+    "lex_l5_corrections",
+    f"""WITH {TOKENS}, {LIST}, p AS (SELECT token, unnest(string_split(token, '-')) AS part FROM tokens), q AS (SELECT token, bool_and(part IN (SELECT word FROM list)) AS ok FROM p GROUP BY token),
+      u AS (SELECT token FROM tokens JOIN q USING (token) WHERE token NOT IN (SELECT word FROM list) AND NOT (contains(token, '-') AND ok) AND length(token) BETWEEN 2 AND (SELECT max(length(word)) + 1 FROM list)),
+      f AS (SELECT token, unnest({_CUT.format("token")}) AS form FROM u), w AS (SELECT word, unnest({_CUT.format("word")}) AS form FROM list WHERE length(word) >= 2),
+      c AS (SELECT DISTINCT token, word FROM f JOIN w USING (form)),
+      e AS (SELECT token, word, length(token) - length(word) AS longer, list_filter(range(1, length(token) + 1), lambda k: substr(token, k, 1) <> substr(word, k, 1)) AS spots FROM c),
+      r AS (SELECT token, word, CASE WHEN longer = 1 THEN 1 WHEN longer = -1 THEN 2 WHEN len(spots) = 2 THEN 1
+          WHEN substr(token, spots[1], 1) || substr(word, spots[1], 1) IN ({_ALIKE}) THEN 0 ELSE 2 END AS cost FROM e
+        WHERE longer = 1 AND list_contains({_CUT.format("token")}, word) OR longer = -1 AND list_contains({_CUT.format("word")}, token) OR longer = 0 AND len(spots) = 1
+          OR longer = 0 AND len(spots) = 2 AND spots[2] = spots[1] + 1 AND substr(token, spots[1], 1) = substr(word, spots[2], 1) AND substr(token, spots[2], 1) = substr(word, spots[1], 1))
+      SELECT token, word, cost, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY cost, word) AS place FROM r) WHERE place <= 12""",
 )
-def lex_l5_ascii_corrections(spark, d):
+def lex_l5_corrections(spark, d):
+    """Ranked corrections of unknown tokens."""
     words = lex.word_list(table(spark, d, "lexicon"))
-    t = lex.token_counts(table(spark, d, "words")).where(F.col("token").rlike("^[a-z]{2,}$")).join(words, F.col("token") == F.col("word"), "left_anti")
-    return lex.corrections(t.select("token"), words.where(F.col("word").rlike("^[a-z]{2,}$"))).select("token", "word", "cost", "place")
+    t = lex.known(lex.token_counts(table(spark, d, "words")), words).where("not known")
+    return lex.corrections(t.select("token"), words).select("token", "word", "cost", "place")
 
 
 @query(

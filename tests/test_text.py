@@ -68,7 +68,7 @@ def test_error_rates_of_every_script(spark, tmp_path):
     ]
     rows = [(1, 1, i, a, b) for i, (a, b) in enumerate(pairs)]
     spark.createDataFrame(rows, "doc_id long, page int, word_no int, text string, alternative string").write.parquet(f"{tmp_path}/words.parquet")
-    got = {r["word_no"]: r["rate"] for r in e.queries()["text_f8_all_error_rates"](spark, str(tmp_path)).collect()}
+    got = {r["word_no"]: r["rate"] for r in e.queries()["text_f8_error_rates"](spark, str(tmp_path)).collect()}
     want = {}
     for i, (a, b) in enumerate(pairs):
         if b is not None:
