@@ -31,19 +31,22 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 WINDOW = 4096
 
 
-def tokenizer(path: str = TOKENIZER):
+def tokenizer(vocabulary: bytes):
+    """The encoding of a vocabulary file's bytes."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """doc_id, n_tokens of the whole text."""
+    """doc_id, n_tokens of the whole text. The vocabulary file is read where the job starts and sent along (under 1 MB),
+    so executors need no copy of it."""
+    with open(path, "rb") as f:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = tokenizer(path).encode_ordinary
+        encode = tokenizer(vocabulary.value).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": [len(encode(t)) for t in pdf["text"].tolist()]})
 
