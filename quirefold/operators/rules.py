@@ -382,3 +382,24 @@ def digit_anomalies(text: Column, centres: Column) -> Column:
         )
 
     return F.when(text.rlike("[ء-ي]"), F.aggregate(place, empty, step, done)).otherwise(0)
+
+
+def trimmed_runs(runs: DataFrame, prefix: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs (keys, run_no, text, ...) without the first `n_prefix` characters of their block; a run that ends inside the prefix goes,
+    the one it ends in keeps its style and the rest of its text. Blocks without a prefix keep all; null texts count as empty."""
+    order = Window.partitionBy(*keys).orderBy("run_no").rowsBetween(Window.unboundedPreceding, 0)
+    r = runs.withColumn("text", F.coalesce("text", F.lit(""))).join(prefix.select(*keys, "n_prefix"), keys, "left")
+    end = F.sum(F.length("text")).over(order)
+    left = F.coalesce("n_prefix", F.lit(0)) - (F.col("__end") - F.length("text"))
+    r = r.withColumn("__end", end).withColumn("__left", F.greatest(left, F.lit(0)).cast("int"))
+    return r.withColumn("text", F.substring(F.col("text"), F.col("__left") + 1, F.length("text"))).where(F.length("text") > 0).drop("__end", "__left", "n_prefix")
+
+
+def split_spans(cells: DataFrame, spans: DataFrame) -> DataFrame:
+    """table_id, span_no: spans of running text that two cells of one row cut, so that the cells are no table. A cell counts with a quarter of
+    its height (at most 2) and an eighth of its width (at most 5) inside the span."""
+    w = F.least("x1", "sx1") - F.greatest("x0", "sx0")
+    h = F.least("y1", "sy1") - F.greatest("y0", "sy0")
+    hit = (h >= F.least(F.lit(2.0), (F.col("y1") - F.col("y0")) * 0.25)) & (w >= F.least(F.lit(5.0), (F.col("x1") - F.col("x0")) * 0.12))
+    cut = cells.join(spans, "table_id").where(hit).groupBy("table_id", "row_no", "span_no").agg(F.count("*").alias("n")).where("n >= 2")
+    return cut.select("table_id", "span_no").distinct()

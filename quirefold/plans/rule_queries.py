@@ -498,4 +498,37 @@ def text_f35_digit_order(spark, d):
     return s.select("id", ru.digit_anomalies(F.col("text"), F.col("centres")).alias("anomalies"))
 
 
+
+@query(
+    "text_f23_trimmed_runs",
+    """WITH p AS (SELECT doc_id, page, block_no, length(list_marker) AS n FROM blocks WHERE list_marker IS NOT NULL AND starts_with(text, list_marker)),
+      r AS (SELECT r.doc_id, r.page, r.block_no, run_no, coalesce(r.text, '') AS text, coalesce(n, 3) AS n, sum(length(coalesce(r.text, ''))) OVER (PARTITION BY r.doc_id, r.page, r.block_no ORDER BY run_no) AS e
+        FROM runs r LEFT JOIN p USING (doc_id, page, block_no)),
+      t AS (SELECT *, greatest(0, n - (e - length(text)))::INT AS k FROM r)
+      SELECT doc_id, page, block_no, run_no, substr(text, k + 1) AS text FROM t WHERE k < length(text)""",
+)
+def text_f23_trimmed_runs(spark, d):
+    """Runs of blocks without the block's list marker, or without three characters where it has none before its text."""
+    keys = [*PAGE, "block_no"]
+    own = table(spark, d, "blocks").where("list_marker is not null and startswith(text, list_marker)").select(*keys, F.length("list_marker").alias("m"))
+    runs = table(spark, d, "runs").select(*keys, "run_no", "text")
+    prefix = runs.select(*keys).distinct().join(own, keys, "left").select(*keys, F.coalesce("m", F.lit(3)).alias("n_prefix"))
+    return ru.trimmed_runs(runs, prefix, keys)
+
+
+_TC = [(1, 0, 0, 0.0, 0.0, 50.0, 10.0), (1, 0, 1, 50.0, 0.0, 100.0, 10.0), (1, 1, 0, 0.0, 10.0, 50.0, 20.0), (1, 1, 1, 50.0, 10.0, 100.0, 20.0), (2, 0, 0, 0.0, 0.0, 50.0, 10.0), (2, 0, 1, 50.0, 0.0, 100.0, 10.0)]
+_SP = [(1, 1, 2.0, 1.0, 45.0, 9.0), (1, 2, 2.0, 11.0, 80.0, 19.0), (1, 3, 2.0, 11.0, 52.0, 19.0), (1, 4, 2.0, 30.0, 90.0, 39.0), (2, 5, 2.0, 9.5, 98.0, 18.0)]
+
+
+@query(
+    "join_p19_split_spans",
+    f"""WITH c AS {values('table_id, row_no, col_no, x0, y0, x1, y1', _TC)}, s AS {values('table_id, span_no, sx0, sy0, sx1, sy1', _SP)}
+      SELECT DISTINCT table_id, span_no FROM (SELECT c.table_id, row_no, span_no FROM c JOIN s USING (table_id) WHERE least(y1, sy1) - greatest(y0, sy0) >= least(2.0, (y1 - y0) * 0.25)
+        AND least(x1, sx1) - greatest(x0, sx0) >= least(5.0, (x1 - x0) * 0.12) GROUP BY c.table_id, row_no, span_no HAVING count(*) >= 2)""",
+)
+def join_p19_split_spans(spark, d):
+    """Spans of running text that a fabricated grid cuts into several cells of one row (made rows)."""
+    c = literal(spark, "table_id int, row_no int, col_no int, x0 double, y0 double, x1 double, y1 double", _TC)
+    return ru.split_spans(c, literal(spark, "table_id int, span_no int, sx0 double, sy0 double, sx1 double, sy1 double", _SP))
+
 QUERIES, ORACLES = Q, O
