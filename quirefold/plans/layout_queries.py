@@ -334,10 +334,10 @@ def win_w14_neighbour_scripts(spark, d):
       m AS (SELECT *, weak OR (length(text) <= 3 AND coalesce(a, false) AND coalesce(b, false)) AS member FROM f),
       i AS (SELECT *, sum(CASE WHEN member THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page, line_key ORDER BY word_no ROWS UNBOUNDED PRECEDING) AS island FROM m)
       SELECT doc_id, page, line_key, min(word_no) AS first_word, count(*) AS n_words,
-        repeat('_', greatest(3, round_even((max(x1) - min(x0)) / (0.5 * max(y1 - y0)), 0))::INT) AS blank FROM i WHERE member GROUP BY doc_id, page, line_key, island HAVING count(*) >= 2""",
+        CASE WHEN count(*) <= 6 THEN repeat('_', greatest(3, round_even((max(x1) - min(x0)) / (0.5 * max(y1 - y0)), 0))::INT) END AS blank FROM i WHERE member GROUP BY doc_id, page, line_key, island HAVING count(*) >= 2""",
 )
 def win_w17_weak_runs(spark, d):
-    """Runs of two or more weak words, a short word between two of them included, as one blank field."""
+    """Runs of two or more weak words, a short word between two of them included, as one blank field; a run of more than six is text and has none."""
     line = Window.partitionBy(*PAGE, "line_key").orderBy("word_no")
     weak = F.coalesce((F.col("confidence") < 0.75) | F.isnan("confidence"), F.lit(False))
     w = lay.with_line(table(spark, d, "words").where("text is not null")).withColumn("weak", weak)
@@ -345,7 +345,7 @@ def win_w17_weak_runs(spark, d):
     w = w.withColumn("island", F.sum(F.when(F.col("member"), 0).otherwise(1)).over(line.rowsBetween(Window.unboundedPreceding, 0)))
     n = F.greatest(F.lit(3), F.bround((F.max("x1") - F.min("x0")) / (0.5 * F.max(g.height()))).cast("int"))
     runs = w.where("member").groupBy(*PAGE, "line_key", "island").agg(F.min("word_no").alias("first_word"), F.count("*").alias("n_words"), n.alias("n"))
-    return runs.where("n_words >= 2").select(*PAGE, "line_key", "first_word", "n_words", F.expr("repeat('_', n)").alias("blank"))
+    return runs.where("n_words >= 2").select(*PAGE, "line_key", "first_word", "n_words", F.expr("CASE WHEN n_words <= 6 THEN repeat('_', n) END").alias("blank"))
 
 
 @query(
