@@ -71,8 +71,8 @@ def one_edit(a: Column, b: Column) -> Column:
 def near_pairs(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """token, word: list words within one edit or one swap. Candidates meet on shared deletion forms, so no pairs
     are compared that share none. A token that is longer than every word by more than one has none."""
-    longest = words.agg(F.max(F.length("word")).alias("longest"))  # one row
-    t = deletions(tokens.join(F.broadcast(longest)).where((F.length("token") >= 2) & (F.length("token") <= F.col("longest") + 1)), "token").select("token", "form")
+    longest = words.agg(F.max(F.length("word"))).scalar()
+    t = deletions(tokens.where((F.length("token") >= 2) & (F.length("token") <= longest + 1)), "token").select("token", "form")
     w = deletions(words.where(F.length("word") >= 2), "word").select("word", "form")
     return t.join(w, "form").select("token", "word").distinct().where(one_edit(F.col("token"), F.col("word")))
 
