@@ -430,8 +430,8 @@ def scored(found: DataFrame, rounds: int = 3) -> DataFrame:
 
     def levelled(df: DataFrame) -> DataFrame:
         """Scores of name tokens as shares of the best, so that rounds do not wear them down."""
-        best = df.where("family = 'name'").agg(F.max("s").alias("top"))  # one row
-        return df.join(F.broadcast(best)).withColumn("s", F.when(F.col("family") == "name", F.col("s") / F.greatest("top", F.lit(0.6))).otherwise(F.col("s"))).drop("top")
+        top = df.where("family = 'name'").agg(F.coalesce(F.max("s"), F.lit(0.0))).scalar()
+        return df.withColumn("s", F.when(F.col("family") == "name", F.col("s") / F.greatest(top, F.lit(0.6))).otherwise(F.col("s")))
 
     instance = edges.groupBy(*node).agg((F.sum(F.col("n") * start) / F.sum("n")).alias("s"), (F.sum(F.col("n") * F.col("form")) / F.sum("n")).alias("f"))
     instance = levelled(staged(instance, "pii-instances"))
